@@ -268,9 +268,17 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
 
 
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns kept, with the first document of each component; documents of a null id stay."""
-    kept = near_duplicates(docs, distance, shingle, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").union(docs.where(F.col(id_col).isNull()))
+    """docs, all columns kept, with one row of each component: the document of the smallest id.
+
+    Rows of a null id stay, as nothing names them. Of several rows of one id an arbitrary one stays.
+    """
+    found = near_duplicates(docs, distance, shingle, id_col, text_col)
+    kept = written(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")), "kept")
+    out = docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
+    again = kept.where("n > 1").select(id_col)
+    if again.limit(1).count():
+        out = out.join(again, id_col, "left_anti").select(*docs.columns).union(out.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    return out.union(docs.where(F.col(id_col).isNull()))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
