@@ -8,7 +8,8 @@ all training documents are used.
 Counting by request and answer: a task numbers the words of a batch of documents and asks, for the distinct
 n-grams of the batch, for the counts of the whole corpus. Requests meet by a hash of the n-gram, one row for each
 batch and share of the hash space, so no word or phrase, however common, is more than one entry of a batch. The
-answers go back to the batches, which score their documents. Every step is a table in the shared folder.
+answers, a table in the shared folder, go back to the batches, which score their documents. The batches are
+made anew from the texts each time, which is less than storing them; an answer tells if its batch has changed.
 
 n-grams are 56-bit hashes: a collision among a billion of them would give one a wrong count in 70 million.
 """
@@ -25,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from cellweave.llm.common import ascii_words, drop_path, scratch_path, shuffle_partitions, table, type_of, varpack, varunpack, written
+from cellweave.llm.common import ascii_words, shuffle_partitions, table, trim, type_of, varpack, varunpack, written
 
 ORDER = 2
 #: Tokens of a batch: what a task holds at a time.
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_250_000
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 #: Cells a unit of the logarithm of a ratio of probabilities; bounds of the exponent; buckets of an order.
 FINE, WIDEST, BUCKETS = 8, 400, 24
@@ -138,13 +140,14 @@ class Numbers(dict):
         return n
 
 
-def encoded(docs: DataFrame, order: int, parts: int, batch_tokens: int) -> DataFrame:
-    """Two kinds of rows. "text": a batch's documents. "ask": its distinct n-grams in one share of the hash space, with its counts in training and deleted documents."""
+def encoded(docs: DataFrame, order: int, parts: int, batch_tokens: int, asks: bool) -> DataFrame:
+    """Rows of the batches: their distinct n-grams by share of the hash space, with their counts in training and deleted documents (asks); or their documents."""
     kind = type_of(docs, "doc_id")
-    schema = T.StructType(
-        [T.StructField("kind", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in "abc"), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("folds", T.ArrayType(T.IntegerType()))]
-        + [T.StructField(x, T.LongType()) for x in ("train_tokens", "deleted_tokens")]
-    )
+    if asks:
+        schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("keys", "train", "deleted"))])
+    else:
+        schema = T.StructType([T.StructField("batch", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("keys", "tokens")), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("sizes", "folds"))])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -152,73 +155,83 @@ def encoded(docs: DataFrame, order: int, parts: int, batch_tokens: int) -> DataF
         end = numbers[END_WORD]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sizes = np.array([len(p) for p in pieces])
-            tokens, keys, fold = np.concatenate(pieces), word_keys(list(numbers)), np.array(folds)
+            number, sizes, fold = (task << 32) + made, np.array([len(p) for p in pieces]), np.array(folds)
+            tokens, keys = np.concatenate(pieces), word_keys(list(numbers))
+            if not asks:
+                yield pa.RecordBatch.from_pylist([{"batch": number, "keys": keys.tobytes(), "tokens": planes(tokens), "ids": ids, "sizes": sizes.tolist(), "folds": folds}], schema=arrow)
+                return
             batch = Batch(keys, tokens, sizes, order)
             train, deleted = batch.counts(fold != HELD_OUT), batch.counts(fold == DELETED)
-            number = (task << 32) + made
-            n = [int(sizes[fold != HELD_OUT].sum()), int(sizes[fold == DELETED].sum())]
-            yield pa.RecordBatch.from_pylist([{"kind": "text", "batch": number, "part": None, "a": keys.tobytes(), "b": planes(tokens), "c": None, "ids": ids, "sizes": sizes.tolist(), "folds": folds, "train_tokens": n[0], "deleted_tokens": n[1]}], schema=arrow)
             edges = np.searchsorted(share_of(batch.keys, parts), np.arange(parts + 1))
             for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                 if lo < hi:
-                    row = {"kind": "ask", "batch": number, "part": p, "a": pack_sorted(batch.keys[lo:hi]), "b": squeezed(varpack(train[lo:hi])), "c": squeezed(varpack(deleted[lo:hi]))}
+                    row = {"batch": number, "part": p, "keys": pack_sorted(batch.keys[lo:hi]), "train": squeezed(varpack(train[lo:hi])), "deleted": squeezed(varpack(deleted[lo:hi]))}
                     yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
-        arrow = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int32())), ("folds", pa.list_(pa.int32())), ("train_tokens", pa.int64()), ("deleted_tokens", pa.int64())])
         for batch in batches:
-            for key, text, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = ascii_words(text)
+            for key, text, fold in zip(*(batch.column(k) for k in range(3)), strict=True):
+                words = ascii_words(text.as_py())
                 piece = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                 pieces.append(np.append(piece, np.int32(end)))
-                ids.append(key)
-                folds.append(fold)
+                ids.append(key.as_py())
+                folds.append(fold.as_py())
                 held += len(words) + 1
                 if held >= batch_tokens:
                     yield from flush()
                     made += 1
                     ids, folds, pieces, numbers, held = [], [], [], Numbers(), 0
                     end = numbers[END_WORD]
+                    trim()
         if pieces:
             yield from flush()
+        trim()
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(kind)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
     return docs.select("doc_id", "text", fold.alias("fold")).mapInArrow(run, schema)
 
 
+ANSWER = T.StructType([T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("deleted", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in ("sign", "unigrams", "train_tokens", "deleted_tokens"))])
+
+
+def signature(keys: np.ndarray) -> int:
+    return int(keys.sum(dtype=np.uint64).view(np.int64))
+
+
 def answered(asks: DataFrame) -> DataFrame:
-    """(batch, part, counts, deleted, unigrams): the corpus counts of every batch's n-grams, in the order of its request.
+    """The corpus counts of every batch's n-grams, in the order of its request, and a sum of the keys as its sign.
 
-    unigrams, the number of distinct training tokens of the share, is on one row of the share.
+    One row of a share has its number of distinct training tokens, and their occurrences.
     """
+    arrow = to_arrow_schema(ANSWER)
 
     def meet(group: pa.Table) -> pa.Table:
         rows = group.sort_by("batch").to_pylist()
-        keys = [unpack_sorted(r["a"]) for r in rows]
+        keys = [unpack_sorted(r["keys"]) for r in rows]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         total, deleted = (np.zeros(len(distinct), np.int64) for _ in range(2))
         edges = np.cumsum([0, *map(len, keys)])
         for r, lo, hi in zip(rows, edges, edges[1:], strict=False):  # the keys of a request are distinct
-            total[at[lo:hi]] += varunpack(unsqueezed(r["b"]))
-            deleted[at[lo:hi]] += varunpack(unsqueezed(r["c"]))
-        unigrams = int(((distinct & np.uint64(1)).astype(bool) & (total > 0)).sum())
-        out = [{"batch": r["batch"], "part": r["part"], "counts": squeezed(varpack(total[at[lo:hi]])), "deleted": squeezed(varpack(deleted[at[lo:hi]])), "unigrams": 0 if k else unigrams} for k, (r, lo, hi) in enumerate(zip(rows, edges, edges[1:], strict=False))]
-        return pa.Table.from_pylist(out, pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("deleted", pa.binary()), ("unigrams", pa.int64())]))
+            total[at[lo:hi]] += varunpack(unsqueezed(r["train"]))
+            deleted[at[lo:hi]] += varunpack(unsqueezed(r["deleted"]))
+        unigram = (distinct & np.uint64(1)).astype(bool)
+        whole = [int((unigram & (total > 0)).sum()), int(total[unigram].sum()), int(deleted[unigram].sum())]
+        out = []
+        for k, (r, lo, hi) in enumerate(zip(rows, edges, edges[1:], strict=False)):
+            own = dict(zip(("unigrams", "train_tokens", "deleted_tokens"), [0, 0, 0] if k else whole, strict=True))
+            out.append({"batch": r["batch"], "part": r["part"], "counts": squeezed(varpack(total[at[lo:hi]])), "deleted": squeezed(varpack(deleted[at[lo:hi]])), "sign": signature(keys[k])} | own)
+        return pa.Table.from_pylist(out, arrow)
 
-    return asks.select("batch", "part", "a", "b", "c").groupBy("part").applyInArrow(meet, "batch long, part int, counts binary, deleted binary, unigrams long")
+    return asks.groupBy("part").applyInArrow(meet, ANSWER)
 
 
 def reassembled(text: pa.Table, answers: pa.Table, order: int) -> tuple[dict, Batch, np.ndarray, np.ndarray]:
     """A batch as it was asked for, with the counts of its keys."""
     row = text.to_pylist()[0]
-    batch = Batch(np.frombuffer(row["a"], np.uint64), unplanes(row["b"]), np.array(row["sizes"]), order)
+    batch = Batch(np.frombuffer(row["keys"], np.uint64), unplanes(row["tokens"]), np.array(row["sizes"]), order)
     parts = sorted(answers.to_pylist(), key=lambda r: r["part"])
     counts, deleted = (np.concatenate([varunpack(unsqueezed(p[x])) for p in parts]) for x in ("counts", "deleted"))
-    if len(counts) != len(batch.keys):
-        raise RuntimeError(f"batch {row['batch']} asked for {len(batch.keys)} n-grams and got {len(counts)}")
+    if len(counts) != len(batch.keys) or signature(batch.keys) != int(np.array([p["sign"] for p in parts]).view(np.uint64).sum(dtype=np.uint64).view(np.int64)):
+        raise RuntimeError("a batch has changed since its counts were asked for: write the documents to a table first")
     return row, batch, counts, deleted
 
 
@@ -298,17 +311,10 @@ def deleted_interpolation(docs: DataFrame, order: int = ORDER, batch_tokens: int
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = type_of(docs, "doc_id")
-    path = scratch_path(spark, "ngrams")
-    rows = encoded(docs, order, shuffle_partitions(spark), batch_tokens)
-    rows.write.partitionBy("kind").parquet(path)
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "kind"] + [T.StructField("kind", T.StringType())])
-    table_of = lambda name: spark.read.schema(schema).parquet(path).where(F.col("kind") == name)
-    answers = written(answered(table_of("ask")), "answers")
-    drop_path(spark, f"{path}/kind=ask")
-    texts = table_of("text").select("batch", "a", "b", "ids", "sizes", "folds")
-    total, deleted = table_of("text").agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("deleted_tokens"), F.lit(0))).first()
-    distinct = answers.agg(F.coalesce(F.sum("unigrams"), F.lit(0))).first()[0]
-    pairs = lambda function, out: texts.groupBy("batch").cogroup(answers.select("batch", "part", "counts", "deleted").groupBy("batch")).applyInArrow(function, out)
+    made = lambda asks: encoded(docs, order, shuffle_partitions(spark), batch_tokens, asks)
+    answers = written(answered(made(True)), "answers")
+    total, deleted, distinct = answers.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("train_tokens", "deleted_tokens", "unigrams"))).first()
+    pairs = lambda function, out: made(False).groupBy("batch").cogroup(answers.select("batch", "part", "counts", "deleted", "sign").groupBy("batch")).applyInArrow(function, out)
 
     def held(text: pa.Table, own: pa.Table) -> pa.Table:
         row, batch, counts, gone = reassembled(text, own, order)
@@ -333,10 +339,9 @@ def deleted_interpolation(docs: DataFrame, order: int = ORDER, batch_tokens: int
             base += np.bincount(doc, np.log10((count + 0.1) / (total + 0.1 * (distinct + 1))), n_docs)
             total_score += np.bincount(doc, np.log10(p / (distinct + 1)), n_docs)
         fold = np.array(row["folds"])
+        trim()
         return pa.table([pa.array(row["ids"], id_type), pa.array(fold == HELD_OUT), pa.array(row["sizes"], pa.int64()), pa.array(known), pa.array(np.full(n_docs, total)), pa.array(base), pa.array(total_score)], names=list(names))
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(kind)
     names = {"doc_id": kind, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
     return pairs(score, T.StructType([T.StructField(k, v) for k, v in names.items()]))
