@@ -1 +1,5 @@
-"""Window features of gridded imagery as Spark plans."""
+"""Contextual features of gridded imagery, on Spark."""
+
+from cellweave.spec import FeatureSpec, SpecError
+
+__all__ = ["FeatureSpec", "SpecError"]
