@@ -214,8 +214,8 @@ def stem(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
-def read_pixels(spark: SparkSession, path: str, kind: str, bands: tuple[int, ...] | None = None, **options) -> DataFrame:
-    """(image_id, band, r, c, v) of every file under a path; image_id is the file's name. Only the bands asked for are cut out; nodata is null."""
+def read_pixels(spark: SparkSession, path: str, kind: str, wanted: tuple[int, ...] | None = None, **options) -> DataFrame:
+    """(image_id, band, r, c, v) of every file under a path; image_id is the file's name. Only the bands wanted are cut out; nodata is null. A raw file needs rows, cols, bands and dtype."""
     parse = parser(kind, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def read_pixels(spark: SparkSession, path: str, kind: str, bands: tuple[int, ...
                 n, rows, cols = grid.values.shape
                 lines = max(1, BATCH // max(cols, 1))
                 for b in range(n):
-                    if bands is not None and b + 1 not in bands:
+                    if wanted is not None and b + 1 not in wanted:
                         continue
                     for r in range(0, rows, lines):
                         part = grid.values[b, r : r + lines].astype(np.float64)
@@ -265,7 +265,7 @@ def encoded_tiles(features: DataFrame, spec, image: str, left: float, top: float
     write = {"geotiff": format_geotiff, "ascii": format_ascii}[kind]
     suffix = {"geotiff": "tif", "ascii": "asc"}[kind]
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
         i, j = (x.as_py() for x in key)
         bi, bj, band, value = (group.column(x).to_numpy() for x in ("bi", "bj", "out_band", "value"))
         out = np.zeros((bands, int(bi.max()) % tile + 1, int((bj % tile).max()) + 1), np.float32)
