@@ -1,6 +1,6 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-Each view is a logistic regression on binary features: words, trailing signs and shapes of the text; language,
+Each view is a logistic regression on binary features: words and their beginnings, trailing signs and shapes of the text; language,
 source and length of the page. Features are chosen by how far their label counts lie from chance. Over rounds
 each view labels the unlabelled documents of which its calibrated probability is sure, for the other view to
 learn from. At last the views, calibrated on labelled rows that were kept out, are combined by a logistic
@@ -28,13 +28,15 @@ ROUNDS, SURE, GROWTH = 3, 0.98, 0.25
 #: Least deviation of a feature's label counts, in standard errors, and least documents that have it.
 DEVIATION, SEEN = 4.0, 4
 KEEP = 0.5
+#: Bytes of the beginnings of words that are features: they stand for words that the labels have too few of.
+PREFIXES = (4, 5, 6, 7)
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 NOT_LETTER = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
 def text_features(text: str | None) -> set[bytes]:
-    """Words without the signs around them, the signs that trail them, and shapes; every feature once, whatever the length."""
+    """Words without the signs around them, their beginnings, the signs that trail them, and shapes; every feature once, whatever the length."""
     data = (text or "").encode("utf-8", "surrogatepass")
     lower = data.lower()
     words = lower.split()
@@ -47,6 +49,9 @@ def text_features(text: str | None) -> set[bytes]:
         core = core.lstrip(SIGNS)
         if core:
             out.add(b"w:" + core[:40])
+            for k in PREFIXES:
+                if len(core) > k:
+                    out.add(b"p:" + core[:k])
     n = len(words)
     size = min(n.bit_length(), 12)
     out.add(b"n:%d" % size)
