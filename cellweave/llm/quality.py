@@ -12,6 +12,7 @@ by the hash of their ids. Scoring covers all documents.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,7 +42,7 @@ def text_features(text: str | None) -> set[bytes]:
     lower = data.lower()
     words = lower.split()
     distinct = set(words)
-    out = set()
+    out, starts = set(), Counter()
     for w in distinct:
         core = w.rstrip(SIGNS)
         if len(core) != len(w):
@@ -49,9 +50,14 @@ def text_features(text: str | None) -> set[bytes]:
         core = core.lstrip(SIGNS)
         if core:
             out.add(b"w:" + core[:40])
-            for k in PREFIXES:
-                if len(core) > k:
-                    out.add(b"p:" + core[:k])
+            starts.update(core[:k] for k in PREFIXES if len(core) > k)
+    # A beginning is a feature of its own where 1, 2 or 4 different words have it, as chance gives long texts some.
+    for start, k in starts.items():
+        out.add(b"p:" + start)
+        if k >= 2:
+            out.add(b"q:" + start)
+        if k >= 4:
+            out.add(b"r:" + start)
     n = len(words)
     size = min(n.bit_length(), 12)
     out.add(b"n:%d" % size)
