@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import scratch_path, table, type_of
+from cellweave.llm.common import scratch_path, table, type_of, written
 
 DATE = "2024-01-01T00:00:00Z"
 SEGMENT = 64 * 1024
@@ -109,7 +109,10 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, least: i
     spark = pages.sparkSession
     payload = F.coalesce(F.col(text_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    digests = rows.select("page", "row", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.octet_length("payload").alias("n"))
+    # Written, as the rows are read twice and their numbers must be the same both times, whatever pages are made by.
+    rows = written(rows.select("*", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.octet_length("payload").alias("n")), "pages")
+    digests = rows.select("page", "row", "digest", "n")
+    rows = rows.select("page", "url", "payload", "row")
     firsts = digests.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "row")).alias("first"))
     roles = digests.join(firsts, "digest", "left").select("row", "digest", F.when(F.col("first.row") != F.col("row"), F.col("first")).alias("first"))
     urn = lambda page, row: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"))
