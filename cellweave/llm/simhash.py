@@ -126,7 +126,7 @@ def scheme(fps: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
     n, both = bit_agreement(fps)
     p = np.diag(both) / max(n, 1)
     odds = 2 * p * (1 - p) / np.maximum(1 - 2 * p * (1 - p), 1e-9)
-    choices = {m: partitions(both, n, m) for m in range(2, distance + 2)}
+    choices = {m: partitions(both, n, m) for m in range(min(2, distance + 1), distance + 2)}
     keys = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), part_value(bits).alias("v")) for m, parts in choices.items() for i, bits in enumerate(parts)]
     pairs = {(r[0], r[1]): r[2] for r in fps.select(F.explode(F.array(*keys)).alias("k")).select("k.*").groupBy("m", "i", "v").count().groupBy("m", "i").agg(F.sum(F.col("count").cast("double") * F.col("count"))).collect()}
     best = None
