@@ -6,16 +6,17 @@ A tile is known to be whole by its number of pixels, so files may arrive in any
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellweave.geometry import spread_to_sections
-from cellweave.plans.mosaic import exists, tile_of
+from cellweave.plans.mosaic import MARGIN, exists, tile_of
 from cellweave.plans.features import spatial_features
 from cellweave.spec import FeatureSpec
 
 PIXELS = "band int, r long, c long, v double"
+DONE = "tr long, tc long, batch long"
 
 
 def read_pixel_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,25 +26,35 @@ def read_pixel_stream(spark: SparkSession, path: str, files_per_trigger: int | N
     return reader.parquet(path)
 
 
-def whole_tiles(pixels: DataFrame, spec: FeatureSpec, rows: int, cols: int) -> DataFrame:
-    """(tr, tc) of the tiles whose section has every pixel of every band."""
-    step, halo = spec.step(), spec.halo
-    counted = spread_to_sections(pixels, spec, rows, cols).groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("n"))
-    side = lambda t, n: F.least(F.lit(step + halo).cast("long"), F.lit(n) - F.col(t) * step)
+def whole_tiles(spread: DataFrame, spec: FeatureSpec, rows: int, cols: int, margin: int = MARGIN) -> DataFrame:
+    """(tr, tc) of the tiles of spread pixels (tr, tc, band, r, c) that have every pixel, of every band, of the section and its margin."""
+    step, size = spec.step(), spec.step() + spec.halo
+    counted = spread.groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("n"))
+
+    def side(t: str, n: int) -> Column:
+        return F.least(F.col(t) * step + size + margin, F.lit(n).cast("long")) - F.greatest(F.col(t) * step - margin, F.lit(0).cast("long"))
+
     return counted.where(F.col("n") == side("tr", rows) * side("tc", cols) * len(spec.bands)).select("tr", "tc")
 
 
 def feature_stream(stream: DataFrame, spec: FeatureSpec, size: tuple[int, int], path: str, once: bool = True) -> StreamingQuery:
-    """Starts a query that writes (trigger, .., value, tr, tc) of every tile once it is whole, under ``path``/features."""
+    """Starts a query that writes (trigger, .., value, tr, tc) of every tile once it is whole, under ``path``/features.
+
+    Pixels are stored by tile, so a batch reads again only the tiles that it adds to, however long the stream.
+    """
 
     def ingest(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.where(F.col("band").isin(*spec.bands)).write.mode("overwrite").parquet(f"{path}/pixels/batch={number}")
-        held = spark.read.schema(PIXELS).parquet(f"{path}/pixels").select("band", "r", "c", "v").dropDuplicates(["band", "r", "c"])
-        ready = whole_tiles(held, spec, *size)
-        if exists(spark, f"{path}/features"):
-            ready = ready.join(spark.read.parquet(f"{path}/features").where(F.col("batch") != number).select("tr", "tc").distinct(), ["tr", "tc"], "left_anti")
-        used = spread_to_sections(held, spec, *size).join(ready, ["tr", "tc"], "left_semi").select("band", "r", "c", "v").dropDuplicates(["band", "r", "c"])
+        spread_to_sections(batch.where(F.col("band").isin(*spec.bands)), spec, *size, margin=MARGIN).write.mode("overwrite").partitionBy("tr", "tc").parquet(f"{path}/pixels/batch={number}")
+        held = spark.read.schema(f"{PIXELS}, batch long, tr long, tc long").parquet(f"{path}/pixels")
+        touched = held.where(F.col("batch") == number).select("tr", "tc").distinct()
+        if exists(spark, f"{path}/done"):
+            before = spark.read.schema(DONE).parquet(f"{path}/done").where(F.col("batch") != number)
+            touched = touched.join(before, ["tr", "tc"], "left_anti")
+        own = held.join(touched, ["tr", "tc"], "left_semi").select("tr", "tc", "band", "r", "c", "v").dropDuplicates(["tr", "tc", "band", "r", "c"])
+        whole_tiles(own, spec, *size).write.mode("overwrite").parquet(f"{path}/done/batch={number}")
+        ready = spark.read.schema(DONE).parquet(f"{path}/done").where(F.col("batch") == number).select("tr", "tc")
+        used = own.join(ready, ["tr", "tc"], "left_semi").select("band", "r", "c", "v").dropDuplicates(["band", "r", "c"])
         made = spatial_features(used, spec, size).withColumns(tile_of(spec)).join(ready, ["tr", "tc"], "left_semi")
         made.write.mode("overwrite").parquet(f"{path}/features/batch={number}")
 
