@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from cellweave.llm.token_counts import byte_letters
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of other characters are encoded by the library whole.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-龥가-힣]*")
-REMEMBERED = 300_000
+#: Pieces and words whose ids a worker remembers: some 200 bytes each.
+REMEMBERED = 600_000
 END = 1
 
 
@@ -40,7 +42,10 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """A text's ids, as little-endian unsigned 32-bit integers, exactly as the library gives them."""
+    """A text's ids, as little-endian unsigned 32-bit integers, exactly as the library gives them.
+
+    No token reaches over white space, so a text is cut at it and the ids of every piece are remembered.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -48,23 +53,48 @@ class WordEncoder:
         self.tok, self.memo = Tokenizer.from_str(spec), {}
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.find, self.letters = regex.compile(PATTERN).findall, byte_letters()
+        self.find, self.letters = regex.compile(PATTERN).findall, {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.special = [t["content"] for t in json.loads(spec)["added_tokens"]]
 
     def word(self, word: str) -> bytes:
-        if len(self.memo) >= REMEMBERED:
-            self.memo.clear()
-        ids = [t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, word.encode("utf-8"))))]
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self.memo[word] = out
-        return out
+        """The ids of a lower-case pre-token."""
+        letters = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        out = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+        return self.keep(word, out)
+
+    def keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= 64:
+            if len(self.memo) >= REMEMBERED:
+                self.memo.clear()
+            self.memo[text] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes | None:
+        """The ids of a text without white space; None where only the library knows them."""
+        if piece.isascii() and piece.isalpha():
+            lower = piece.lower()
+            return self.word(lower) if lower == piece else self.keep(piece, self.memo.get(lower) or self.word(lower))
+        if not PLAIN.fullmatch(piece):
+            return None
+        words, get = self.find(piece.lower()), self.memo.get
+        if len(words) == 1 and words[0] == piece:
+            return self.word(piece)
+        return self.keep(piece, b"".join([get(w) or self.word(w) for w in words]))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or "<|" in text and any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        memo, word = self.memo.get, self.word
-        return b"".join([memo(w) or word(w) for w in self.find(text.lower())])
+        if "<|" in text and any(s in text for s in self.special):
+            return self.whole(text)
+        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        out = list(map(self.memo.get, pieces))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None and (ids := self.piece(pieces[k])) is None:
+                    return self.whole(text)
+                out[k] = ids
+        return b"".join(out)
 
 
 def encoded_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
