@@ -13,6 +13,7 @@ the chunked framing decoded.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import scratch_path, table, type_of, written
+from cellweave.llm.common import scratch_path, table, type_of
 
 DATE = "2024-01-01T00:00:00Z"
 SEGMENT = 64 * 1024
@@ -106,25 +107,31 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, least: i
     (nulls last; of repeated rows one), the others revisit it. Only digests are grouped, by partial
     aggregation; a payload moves once, to meet its page's role.
     """
-    spark = pages.sparkSession
     payload = F.coalesce(F.col(text_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    # Written, as the rows are read twice and their numbers must be the same both times, whatever pages are made by.
-    rows = written(rows.select("*", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.octet_length("payload").alias("n")), "pages")
-    digests = rows.select("page", "row", "digest", "n")
-    rows = rows.select("page", "url", "payload", "row")
-    firsts = digests.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "row")).alias("first"))
-    roles = digests.join(firsts, "digest", "left").select("row", "digest", F.when(F.col("first.row") != F.col("row"), F.col("first")).alias("first"))
-    urn = lambda page, row: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"))
-    joined = rows.join(roles, "row").select(
-        F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page"), urn(F.col("page"), F.col("row")).alias("urn"), "url", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), "digest",
-        F.when(F.col("first").isNotNull(), urn(F.col("first.page"), F.col("first.row"))).alias("refers"),
-    )
+    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("n"))
+    # Rows are told apart by page and digest, which a recomputed plan gives again; a row number it may not.
+    kinds = rows.groupBy("page", "digest").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    firsts = kinds.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("first"))
+    same = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("page"))
+    roles = kinds.join(firsts, "digest", "left").select(F.col("page").alias("p"), F.col("digest").alias("d"), "m", "first", F.col("first").eqNullSafe(same("page")).alias("lead"))
+    joined = rows.join(roles, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d", "n")
+    alone = F.col("first").isNull() | (F.col("lead") & (F.col("m") == 1))
+    single = joined.where(~F.col("lead") | (F.col("m") == 1) | F.col("first").isNull()).select("page", "url", F.when(alone, F.col("payload")).alias("payload"), "digest", "first", alone.alias("response"))
+    # Repeated rows of the page that leads are one response and revisits of it, which are made from their number.
+    repeated = joined.where(F.col("lead") & (F.col("m") > 1) & F.col("first").isNotNull()).groupBy("page", "digest").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("first").alias("first"), F.first("m").alias("m"))
+    repeated = repeated.select("page", "url", "payload", "digest", "first", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i")).select("page", "url", F.when(F.col("i") == 1, F.col("payload")).alias("payload"), "digest", "first", (F.col("i") == 1).alias("response"))
+    name = lambda page, digest: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), digest)
+    refers = F.when(F.col("first").isNotNull(), name(F.col("first.page"), F.col("digest")))
+    joined = single.union(repeated).select(F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page"), "url", "payload", "digest", refers.alias("refers"), "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(records(row["page"], row["urn"], row["url"], row["payload"] or "", row["digest"], row["refers"], segment), pa.string())], ["value"])
+                # A response that others refer to has the name that they know; all else has one of its own.
+                lead = row["response"] and row["refers"] is not None
+                urn = row["refers"] if lead else f"urn:page:{row['page']}:{uuid.uuid4().hex}"
+                made = records(row["page"], urn, row["url"], row["payload"] or "", row["digest"], None if row["response"] else row["refers"], segment)
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
     joined.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -275,7 +282,7 @@ def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(pages, path)
     kind = type_of(pages, "page_id")
     back = read_archives(spark, path)
-    refers = F.regexp_extract("refers", "^urn:page:(.*):[0-9]+$", 1)
+    refers = F.regexp_extract("refers", "^urn:page:(.*):[0-9a-f]+$", 1)
     id_of = lambda c: F.when(c != "", c).cast(kind)
     return back.select(id_of(F.col("page")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), id_of(refers).alias("refers_to"))
 
