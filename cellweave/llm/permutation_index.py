@@ -22,7 +22,7 @@ from cellweave.llm.common import table, type_of, written
 
 K = 20
 #: Pivots: a bounded sample of the vectors. Files that a vector is posted in, files that a query looks into, pivots of the stored order.
-PIVOTS, POSTED, PROBED, ORDER = 128, 16, 10, 64
+PIVOTS, POSTED, PROBED, ORDER = 128, 24, 12, 128
 #: Share of a file, and the least number of it, that is reranked.
 RERANKED, LEAST = 0.25, 500
 #: Up to so many vectors every vector is posted in every file and all are reranked.
