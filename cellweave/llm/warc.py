@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import scratch_path, table, type_of
+from cellweave.llm.common import scratch_path, table, type_of, written
 
 DATE = "2024-01-01T00:00:00Z"
 SEGMENT = 64 * 1024
@@ -114,15 +114,18 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, least: i
     firsts = kinds.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("first"))
     same = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("page"))
     roles = kinds.join(firsts, "digest", "left").select(F.col("page").alias("p"), F.col("digest").alias("d"), "m", "first", F.col("first").eqNullSafe(same("page")).alias("lead"))
-    joined = rows.join(roles, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d", "n")
-    alone = F.col("first").isNull() | (F.col("lead") & (F.col("m") == 1))
-    single = joined.where(~F.col("lead") | (F.col("m") == 1) | F.col("first").isNull()).select("page", "url", F.when(alone, F.col("payload")).alias("payload"), "digest", "first", alone.alias("response"))
-    # Repeated rows of the page that leads are one response and revisits of it, which are made from their number.
-    repeated = joined.where(F.col("lead") & (F.col("m") > 1) & F.col("first").isNotNull()).groupBy("page", "digest").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("first").alias("first"), F.first("m").alias("m"))
-    repeated = repeated.select("page", "url", "payload", "digest", "first", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i")).select("page", "url", F.when(F.col("i") == 1, F.col("payload")).alias("payload"), "digest", "first", (F.col("i") == 1).alias("response"))
+    roles = written(roles, "roles")
+    of_role = lambda roles: rows.join(roles, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d", "n")
+    alone, many = F.col("first").isNull() | F.col("lead"), F.col("lead") & (F.col("m") > 1)
+    made = of_role(roles).where(~many).select("page", "url", F.when(alone, F.col("payload")).alias("payload"), "digest", "first", alone.alias("response"))
+    if roles.where(many).limit(1).count():
+        # Repeated rows of the page that leads are one response and revisits of it, which are made from their number.
+        repeated = of_role(roles.where(many)).groupBy("page", "digest").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("first").alias("first"), F.first("m").alias("m"))
+        repeated = repeated.select("page", "url", "payload", "digest", "first", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i"))
+        made = made.union(repeated.select("page", "url", F.when(F.col("i") == 1, F.col("payload")).alias("payload"), "digest", "first", (F.col("i") == 1).alias("response")))
     name = lambda page, digest: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), digest)
     refers = F.when(F.col("first").isNotNull(), name(F.col("first.page"), F.col("digest")))
-    joined = single.union(repeated).select(F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page"), "url", "payload", "digest", refers.alias("refers"), "response")
+    joined = made.select(F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page"), "url", "payload", "digest", refers.alias("refers"), "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
