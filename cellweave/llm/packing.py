@@ -97,6 +97,17 @@ class WordEncoder:
         return b"".join(out)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(spec: str) -> WordEncoder:
+    """One encoder for a worker, so that what it remembers outlives a task."""
+    if spec not in _encoders:
+        _encoders.clear()
+        _encoders[spec] = WordEncoder(spec)
+    return _encoders[spec]
+
+
 def encoded_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, piece, start, length, ids_crc32) for each piece; only longer documents are cut."""
     with open(path or default_path(), encoding="utf-8") as f:
@@ -104,7 +115,7 @@ def encoded_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_c
     kind = type_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, step = WordEncoder(shared.value), np.uint32(END).tobytes(), 4 * capacity
+        encoder, end, step = encoder_of(shared.value), np.uint32(END).tobytes(), 4 * capacity
         for batch in batches:
             rows, out = [], ([], [], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
