@@ -91,6 +91,17 @@ class TokenCounter:
         return n
 
 
+_counters: dict[str, TokenCounter] = {}
+
+
+def counter_of(spec: str, whole: frozenset[str]) -> TokenCounter:
+    """One counter for a worker, so that what it remembers outlives a task."""
+    if spec not in _counters:
+        _counters.clear()
+        _counters[spec] = TokenCounter(spec, whole)
+    return _counters[spec]
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs, one map over the texts, no shuffle.
 
@@ -104,7 +115,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id
     kind = type_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(*shared.value)
+        counter = counter_of(*shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [counter.count(t) for t in texts]
