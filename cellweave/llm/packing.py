@@ -144,19 +144,23 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     use = inverse @ np.array(demand, float)
     for _ in range(rounds):
         worth = inverse.T @ np.ones(g)
-        best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(size.min()), capacity + 1):
-            fits = np.flatnonzero(size <= c)
-            gain = best[c - size[fits]] + worth[fits]
-            k = int(gain.argmax())
-            best[c], took[c] = (gain[k], fits[k]) if gain[k] > best[c - 1] + 1e-12 else (best[c - 1], -1)
+        # The most that patterns of one more item each time are worth in every capacity, for all capacities at once.
+        best, taken = np.zeros(capacity + 1), []
+        for _ in range(capacity // int(size.min())):
+            gain, took = best.copy(), np.full(capacity + 1, -1)
+            for k in range(g):
+                own = best[: capacity + 1 - size[k]] + worth[k]
+                more = own > gain[size[k] :] + 1e-12
+                gain[size[k] :][more], took[size[k] :][more] = own[more], k
+            if (took < 0).all():
+                break
+            taken.append(took)
+            best = gain
         if best[capacity] <= 1 + 1e-7:
             break
         new, c = np.zeros(g), capacity
-        while c > 0:
-            if took[c] < 0:
-                c -= 1
-            else:
+        for took in reversed(taken):
+            if took[c] >= 0:
                 new[took[c]] += 1
                 c -= size[took[c]]
         direction = inverse @ new
@@ -168,7 +172,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         use = use - ratio[out] * direction
         use[out] = ratio[out]
         patterns[:, out] = new
-        inverse = np.linalg.inv(patterns)
+        row = inverse[out] / direction[out]
+        inverse = inverse - np.outer(direction, row)
+        inverse[out] = row
     return [(tuple(int(round(x)) for x in patterns[:, k]), float(use[k])) for k in range(g) if use[k] > 1e-9]
 
 
