@@ -29,15 +29,15 @@ ROUNDS, SURE, GROWTH = 3, 0.98, 0.25
 #: Least deviation of a feature's label counts, in standard errors, and least documents that have it.
 DEVIATION, SEEN = 4.0, 4
 KEEP = 0.5
-#: Bytes of the beginnings of words that are features: they stand for words that the labels have too few of.
-PREFIXES = (4, 5, 6, 7)
+#: Bytes of the beginnings that are the features of longer words, which the labels have too few of.
+PREFIXES = (4, 6)
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 NOT_LETTER = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
 def text_features(text: str | None) -> set[bytes]:
-    """Words without the signs around them, their beginnings, the signs that trail them, and shapes; every feature once, whatever the length."""
+    """Words without the signs around them, of long ones the beginnings, the signs that trail them, and shapes; every feature once, whatever the length."""
     data = (text or "").encode("utf-8", "surrogatepass")
     lower = data.lower()
     words = lower.split()
@@ -49,8 +49,11 @@ def text_features(text: str | None) -> set[bytes]:
             out.add(b"s:" + w[len(core) :][:8])
         core = core.lstrip(SIGNS)
         if core:
-            out.add(b"w:" + core[:40])
-            starts.update(core[:k] for k in PREFIXES if len(core) > k)
+            # A long word stands for itself by its beginnings: few documents share a longer one.
+            if len(core) <= PREFIXES[-1]:
+                out.add(b"w:" + core)
+            else:
+                starts.update(core[:k] for k in PREFIXES)
     # A beginning is a feature of its own where 1, 2 or 4 different words have it, as chance gives long texts some.
     for start, k in starts.items():
         out.add(b"p:" + start)
