@@ -1,6 +1,6 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-Each view is a logistic regression on binary features: words and their beginnings, trailing signs and shapes of the text; language,
+Each view is a logistic regression on binary features: words, their beginnings, trailing signs and shapes of the text; language,
 source and length of the page. Features are chosen by how far their label counts lie from chance. Over rounds
 each view labels the unlabelled documents of which its calibrated probability is sure, for the other view to
 learn from. At last the views, calibrated on labelled rows that were kept out, are combined by a logistic
@@ -12,12 +12,14 @@ by the hash of their ids. Scoring covers all documents.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +31,20 @@ ROUNDS, SURE, GROWTH = 3, 0.98, 0.25
 #: Least deviation of a feature's label counts, in standard errors, and least documents that have it.
 DEVIATION, SEEN = 4.0, 4
 KEEP = 0.5
-#: Bytes of the beginnings that are the features of longer words, which the labels have too few of.
-PREFIXES = (4, 6)
+#: Characters of the beginnings of words that are features beside the word: they stand for words that the labels have too few of.
+PREFIXES = (4, 5, 6, 7)
+#: Bytes up to which a word is a feature as it is; a longer one is by its hash.
+SPELT = 6
+#: Characters of the windows over text without white space: of scripts that have none, and of other runs of over RUN characters.
+WINDOWS, RUN_WINDOWS, RUN = (2, 3, 4), (4, 6), 40
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 NOT_LETTER = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
 def text_features(text: str | None) -> set[bytes]:
-    """Words without the signs around them, of long ones the beginnings, the signs that trail them, and shapes; every feature once, whatever the length."""
+    """Words without the signs around them, their beginnings, windows over runs without white space, the signs that trail words, and shapes; every feature once, whatever the length."""
     data = (text or "").encode("utf-8", "surrogatepass")
     lower = data.lower()
     words = lower.split()
@@ -49,11 +56,15 @@ def text_features(text: str | None) -> set[bytes]:
             out.add(b"s:" + w[len(core) :][:8])
         core = core.lstrip(SIGNS)
         if core:
-            # A long word stands for itself by its beginnings: few documents share a longer one.
-            if len(core) <= PREFIXES[-1]:
-                out.add(b"w:" + core)
+            out.add(b"w:" + core if len(core) <= SPELT else b"h:" + xxhash.xxh64_digest(core))
+            if core.isascii() and len(core) <= RUN:
+                starts.update([core[:k] for k in PREFIXES if len(core) > k])
             else:
-                starts.update(core[:k] for k in PREFIXES)
+                run = core.decode("utf-8", "surrogatepass")
+                starts.update([run[:k].encode("utf-8", "surrogatepass") for k in PREFIXES if len(run) > k])
+                sizes = WINDOWS if UNSPACED.search(run) else RUN_WINDOWS if len(run) > RUN else ()
+                for size in sizes:
+                    out.update([b"c:" + x.encode("utf-8", "surrogatepass") for x in {run[k : k + size] for k in range(len(run) - size + 1)}])
     # A beginning is a feature of its own where 1, 2 or 4 different words have it, as chance gives long texts some.
     for start, k in starts.items():
         out.add(b"p:" + start)
@@ -154,18 +165,54 @@ def labelled_ids(labels: DataFrame, bound: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, y, text features, metadata features) of the sampled documents."""
-    names = docs.columns
+def views_of(names: list[str], batch: pa.RecordBatch) -> Iterator[tuple[set[bytes], set[bytes]]]:
+    """The text and the metadata features of each row; ``names`` are the metadata columns."""
+    meta = batch.select(names).to_pylist() if names else [{}] * len(batch)
+    return zip(map(text_features, batch.column("text").to_pylist()), map(meta_features, meta), strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hashes(features: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, features), np.uint64, len(features)).view(np.int64)
+
+
+def choose(learn: DataFrame, names: list[str], n: int, p: float) -> dict[str, dict[bytes, int]]:
+    """Numbers of the chosen features of both views: those whose label counts lie farthest from chance.
+
+    Features are counted by their hashes, in every task before the shuffle; only the chosen ones are spelt out.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, len(b), 500)):
+            ys = batch.column("y").to_pylist()
+            rows = list(views_of(names, batch))
+            for v in (0, 1):
+                found = hashes([f for r in rows for f in r[v]])
+                good = np.repeat(ys, [len(r[v]) for r in rows])
+                distinct, at = np.unique(found, return_inverse=True)
+                k, g = np.bincount(at, minlength=len(distinct)), np.bincount(at, good, len(distinct)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), v, np.int8)), *map(pa.array, (distinct, k, g))], ["view", "h", "k", "g"])
+
+    k = F.col("k")
+    found = learn.mapInArrow(counted, "view byte, h long, k long, g long").groupBy("view", "h").agg(F.sum("k").alias("k"), F.sum("g").alias("g"))
+    off = F.abs(F.col("g") - k * p) / F.sqrt(k * p * (1 - p) * (1 - k / F.lit(float(n + 1))))
+    text = F.col("view") == 0
+    found = written(found.where(k >= F.when(text, SEEN).otherwise(2)).withColumn("off", off).where(F.col("off") >= F.when(text, DEVIATION).otherwise(0.0)), "found")
+    wanted = [{r[0]: i for i, r in enumerate(found.where(F.col("view") == v).orderBy(F.desc("off"), "h").limit(MAX_FEATURES).select("h").collect())} for v in (0, 1)]
+    shared = learn.sparkSession.sparkContext.broadcast(wanted)
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[set[bytes], set[bytes]] = (set(), set())
         for batch in batches:
-            rest = batch.select([n for n in names if n not in ("text", "y")]).to_pylist()
-            text = [list(text_features(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(text, pa.list_(pa.binary())), pa.array([list(meta_features(r)) for r in rest], pa.list_(pa.binary()))], ["doc_id", "y", "text", "meta"])
+            out = []
+            for row in views_of(names, batch):
+                for v in (0, 1):
+                    new = list(row[v] - seen[v])
+                    seen[v].update(new)
+                    out += [(v, shared.value[v][h], f) for h, f in zip(hashes(new).tolist(), new, strict=True) if h in shared.value[v]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int8(), pa.int32(), pa.binary()))], ["view", "at", "name"])
 
-    schema = T.StructType([T.StructField("doc_id", type_of(docs, "doc_id")), T.StructField("y", T.IntegerType()), *(T.StructField(x, T.ArrayType(T.BinaryType())) for x in ("text", "meta"))])
-    return docs.mapInArrow(run, schema)
+    named = learn.mapInArrow(spelt, "view byte, at int, name binary").distinct().collect()
+    return {view: {bytes(r[2]): r[1] for r in named if r[0] == v} for v, view in enumerate(("text", "meta"))}
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
@@ -181,26 +228,23 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     free = docs.where(F.col("doc_id").isNotNull()).select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
     mine += [(r[0], -1) for r in free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).collect()]
     wanted = spark.createDataFrame(mine, T.StructType([T.StructField("doc_id", type_of(docs, "doc_id")), T.StructField("y", T.IntegerType())]))
-    rows = written(featured(docs.select(*known).join(F.broadcast(wanted), "doc_id")), "featured").dropDuplicates(["doc_id"])
+    names = [c for c in known if c not in ("doc_id", "text")]
+    # The texts are written, as their features would be several times as large, and are read for every use.
+    rows = written(docs.select(*known).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]), "sample")
     kept_out = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0
     learn = rows.where(F.col("y") >= 0).where(~kept_out)
     counts = learn.agg(F.count(F.lit(1)), F.sum("y")).first()
     n, p = counts[0], (counts[1] or 0) / max(counts[0], 1)
     if not 0 < p < 1:
         return Model(prior=good / sum(y >= 0 for _, y in mine))
-    chosen = {}
-    for view in ("text", "meta"):
-        k = F.col("k")
-        found = learn.select("y", F.explode(view).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("g"))
-        off = F.abs(F.col("g") - k * p) / F.sqrt(k * p * (1 - p) * (1 - k / F.lit(float(n + 1))))
-        least = DEVIATION if view == "text" else 0.0
-        top = found.where(k >= (SEEN if view == "text" else 2)).withColumn("off", off).where(F.col("off") >= least).orderBy(F.desc("off"), "f").limit(MAX_FEATURES)
-        chosen[view] = {bytes(r[0]): i for i, r in enumerate(top.select("f").collect())}
+    chosen = choose(learn, names, n, p)
     index = spark.sparkContext.broadcast(chosen)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns = (index.value["text"], index.value["meta"])
         for batch in batches:
-            got = [[[index.value[v][f] for f in fs if f in index.value[v]] for fs in batch.column(v).to_pylist()] for v in ("text", "meta")]
+            rows = (tuple(sorted(own[f] for f in r & own.keys()) for r, own in zip(row, owns, strict=True)) for row in views_of(names, batch))
+            got = list(zip(*rows, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("out"), *(pa.array(x, pa.list_(pa.int32())) for x in got)], ["y", "out", "text", "meta"])
 
     data = rows.withColumn("out", kept_out).mapInArrow(numbered, "y int, out boolean, text array<int>, meta array<int>").collect()

@@ -72,3 +72,27 @@ def test_features():
     few, many = op.text_features("abcdefx abcdefy"), op.text_features("abcdefx abcdefy abcdefz abcdefw")
     assert b"q:abcdef" in few and b"r:abcdef" not in few and b"r:abcdef" in many and b"w:abcdefx" not in few and b"w:abcdef" in op.text_features("abcdef")
     assert b"lang=None" in op.meta_features({"lang": None, "n_chars": None}) and b"n_chars=none" in op.meta_features({"lang": None, "n_chars": None})
+
+
+def test_words_differ_after_their_beginnings_and_runs_have_insides():
+    first, second = op.text_features("abcdefghijkl-end"), op.text_features("abcdefghijkl-and")
+    assert first != second and op.text_features("преступность") != op.text_features("преступления")
+    inside = op.text_features("今日はとても毒言葉良い天気ですね。")
+    assert op.text_features("毒言葉") & inside and "c:毒言葉".encode() in inside
+    assert b"c:toxic" not in op.text_features("toxic") and b"c:venomy" in op.text_features("q" * 50 + "venomy" + "z" * 50)
+
+
+def test_endings_of_long_words_and_insides_of_sentences_are_learnt(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(400):
+        filler = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 60, 30))
+        bad = k % 2
+        texts.append((k, f"{prose(k, 20)} interconnect{'edly' if bad else 'ions'}" if k % 4 < 2 else filler[:15] + ("毒言葉" if bad else "") + filler[15:], 1 - bad))
+    df = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string")
+    model = op.train(df, spark.createDataFrame([(k, y, 0) for k, _, y in texts if k % 8 < 6], LABELS))
+    got = {r["doc_id"]: r["keep"] for r in op.scored(df, model).collect()}
+    assert np.mean([got[k] == bool(y) for k, _, y in texts if k % 8 >= 6 and k % 4 >= 2]) > 0.95
+    model = op.train(df, spark.createDataFrame([(k, y, 0) for k, _, y in texts if k % 8 < 4], LABELS))
+    got = {r["doc_id"]: r["keep"] for r in op.scored(df, model).collect()}
+    assert np.mean([got[k] == bool(y) for k, _, y in texts if k % 8 >= 4]) > 0.95
