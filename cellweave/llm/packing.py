@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by a linear grouping scheme.
 
 The plan is made from the histogram of piece lengths alone, which has at most ``capacity`` rows whatever the
-input: lengths over ``capacity / 8`` are sorted, cut into groups of equal cardinality and rounded up to the
-largest of their group; configurations of these few sizes are optimised by column generation; the actual
+input: large lengths (over a quarter of the capacity, at first) are sorted, cut into groups of equal cardinality and
+rounded up to the largest of their group; configurations of these few sizes are optimised by column generation; the actual
 lengths take the places of the rounded ones; and what remains, small lengths above all, goes best-fit, longest
 first, into the tightest open space. The plan is a short list of runs (length, ranks) -> (sequences, offset),
 which the pieces, ranked within their length, look up in a broadcast join.
@@ -33,6 +33,8 @@ PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧‰-⁞₠-₿ぁ-ゖ
 #: Pieces and words whose ids a worker remembers: some 200 bytes each.
 REMEMBERED = 600_000
 END = 1
+#: What is large (over so many parts of the capacity) and into how many groups it is put, tried in turn until a plan has as few sequences as the tokens need.
+SCHEMES = ((4, 12), (4, 24), (3, 24), (2, 24), (8, 24), (8, 96))
 
 
 def default_path() -> str:
@@ -178,13 +180,13 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(tuple(int(round(x)) for x in patterns[:, k]), float(use[k])) for k in range(g) if use[k] > 1e-9]
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 24, large: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 12, large: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Runs (length, first rank, ranks, first sequence, ranks per sequence, offset) and the number of sequences.
 
     The pieces of a length with ranks from first rank on fill consecutive sequences, so many per sequence,
     side by side from the offset.
     """
-    large = capacity // 8 if large is None else large
+    large = capacity // 4 if large is None else large
     runs: list[tuple[int, int, int, int, int, int]] = []
     n_seq = 0
     next_rank = dict.fromkeys(histogram, 0)
@@ -193,7 +195,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 24, large: int
 
     big = [(k, left[k]) for k in sorted(left, reverse=True) if k > large]
     total = sum(n for _, n in big)
-    if total and groups:
+    if total:
         g = min(groups, total)
         # Equal cardinality: group j has the items from total*j//g on, longest first.
         grouped: list[list[list[int]]] = []  # of group: [length, count]
@@ -287,17 +289,28 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 24, large: int
     return runs, n_seq
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, groups: int = 24) -> DataFrame:
+def best_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """The plan of the fewest sequences of all grouping schemes, or the first that has no more than the tokens need."""
+    least, best = -(-sum(k * n for k, n in histogram.items()) // capacity), None
+    for share, groups in SCHEMES:
+        got = plan(histogram, capacity, groups, capacity // share)
+        best = got if best is None or got[1] < best[1] else best
+        if best[1] <= least:
+            break
+    return best
+
+
+def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Ranks within a length are made over hashed chunks, so a length that a third of all rows share stays
-    spread out. Repeated rows are packed each for itself; ties are put in order of doc_id.
+    spread out. Repeated rows, and rows of a null id, are packed each for itself; ties are put in order of doc_id,
+    nulls first. Only these columns are looked at and given, so no name can clash. An empty table gives no rows.
     """
     spark = pieces.sparkSession
     pieces = written(pieces, "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    # The grouping costs at most a group's worth of sequences; a finer one, or none, may cost less.
-    runs, _ = min((plan(histogram, capacity, g) for g in (groups, 4 * groups, 0)), key=lambda x: x[1])
+    runs, _ = best_plan(histogram, capacity)
     names = ["length", "__first", "__n", "__seq", "__per", "__at"]
     schema = T.StructType([T.StructField(x, T.LongType()) for x in names])
     lookup = spark.createDataFrame(pd.DataFrame(runs, columns=names, dtype="int64"), schema) if runs else spark.createDataFrame([], schema)
@@ -313,7 +326,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, groups: int = 24) -> DataFrame
 def best_fit_packing(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> DataFrame:
     """Packs the whole text of every document (null: empty) into sequences of at most ``capacity`` tokens.
 
-    Every document ends with id 1, so an empty one is a piece of one token. An empty table gives no rows.
+    Every document ends with id 1, so an empty one is a piece of one token. An empty table gives no rows. A null id
+    stays null, repeated rows are repeated pieces, and columns besides doc_id and text are not looked at.
     """
     return pack(encoded_pieces(docs, capacity, path), capacity)
 

@@ -65,7 +65,7 @@ def test_plan_is_near_the_least_number_of_sequences():
         Counter({1366: 10, 1365: 20}), Counter(rng.integers(500, 900, 3000).tolist()), Counter({3000: 10, 1: 5}),
     ]
     for lengths in cases:
-        runs, n = min((op.plan(dict(lengths), 4096, g) for g in (24, 96, 0)), key=lambda x: x[1])
+        runs, n = op.best_plan(dict(lengths), 4096)
         used, ranks = Counter(), Counter()
         for length, first, count, seq, per, at in runs:
             assert first == ranks[length]
@@ -79,6 +79,42 @@ def test_plan_is_near_the_least_number_of_sequences():
         assert n <= 1.03 * least + 3, (dict(list(lengths.items())[:5]), n, least)
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying everything: the longest piece goes into every open space in turn."""
+    best = [len(lengths)]
+
+    def put(rest, spaces):
+        if len(spaces) >= best[0]:
+            return
+        if not rest:
+            best[0] = len(spaces)
+            return
+        for space in sorted({x for x in spaces if x >= rest[0]}):
+            left = list(spaces)
+            left.remove(space)
+            put(rest[1:], [*left, space - rest[0]])
+        put(rest[1:], [*spaces, capacity - rest[0]])
+
+    put(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+def test_small_plans_against_the_least_number_by_trying_everything():
+    rng = np.random.default_rng(3)
+    over = 0
+    for _ in range(60):
+        lengths = rng.integers(1, 31, 9).tolist()
+        over += op.best_plan(dict(Counter(lengths)), 40)[1] - fewest(lengths, 40)
+    assert over <= 1
+
+
+def test_the_grouping_itself_needs_no_more_sequences_than_the_tokens_do():
+    rng = np.random.default_rng(4)
+    lengths = Counter(np.minimum(4096, rng.lognormal(6, 1.3, 20_000).astype(int) + 1).tolist())
+    share, groups = op.SCHEMES[0]
+    assert op.plan(dict(lengths), 4096, groups, 4096 // share)[1] == -(-sum(k * n for k, n in lengths.items()) // 4096)
+
+
 def test_configurations_cover_the_demand():
     sizes, demand = [40, 30, 20], [10, 17, 5]
     use = op.configurations(sizes, demand, 100)
