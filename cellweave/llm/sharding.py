@@ -1,10 +1,11 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame functions only.
 
-A document descends region, rack and shard levels. At each level every child draws a number from the hash of
-the document's id and the child's name, the draw of a child is exponential with its weight as rate, and the
-least draw wins; so a child gets its share by weight, and a change of weights moves documents only into or out
-of the subtrees whose weights changed. A shard that opens where no rack has room gets a rack and region of its
-own, and then takes documents only into itself.
+A document descends region, rack and shard levels. At each level every child draws, and the least draw wins. A
+shard's draw is made of the hash of the document's id and the shard's name and is exponential with its weight as
+rate; the draw of a rack or region is the least within it, which is exponential with the sum of its weights as rate.
+So a child gets its share by weight, and as no draw depends on another shard's weight, a change of weights moves
+documents only into or out of the shards whose weights changed: one more shard, wherever it is put in the tree,
+takes documents only into itself, whatever the number of shards before.
 """
 
 from __future__ import annotations
@@ -22,62 +23,53 @@ CHUNKS = 1024
 
 
 def topology(weights: list[float], rack: int = RACK, region: int = REGION) -> list[list[list[tuple[int, float]]]]:
-    """regions -> racks -> (shard, weight): shards fill racks, and racks fill regions, in order."""
-    racks = [[(s, w) for s, w in list(enumerate(weights))[k : k + rack]] for k in range(0, len(weights), rack)]
-    return [racks[k : k + region] for k in range(0, len(racks), region)]
+    """regions -> racks -> (shard, weight): shards fill racks, and racks fill regions, in order. What has no weight is left out."""
+    racks = [[(s, w) for s, w in list(enumerate(weights))[k : k + rack] if w > 0] for k in range(0, len(weights), rack)]
+    regions = [[r for r in racks[k : k + region] if r] for k in range(0, len(racks), region)]
+    return [r for r in regions if r]
 
 
-def draw(key: Column, name: Column | str, weight: float) -> Column:
+def draw(key: Column, name: Column, weight: Column) -> Column:
     """An exponential draw of rate weight, from a hash of 52 bits."""
-    name = F.lit(name) if isinstance(name, str) else name
     u = (F.shiftrightunsigned(F.xxhash64(key, name), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    return -F.log(u) / F.lit(weight)
-
-
-def least(key: Column, children: list[tuple[str, float, Column]]) -> Column:
-    """The value of the child whose draw is least; ties go to the smaller value."""
-    able = [F.struct(draw(key, name, w).alias("d"), value.alias("v")) for name, w, value in children if w > 0]
-    return (F.least(*able) if len(able) > 1 else able[0])["v"]
+    return -F.log(u) / weight
 
 
 def tree_shard(key: Column, weights: list[float], rack: int = RACK, region: int = REGION) -> Column:
-    """The shard of a key. Weights must not be negative, and one of them must be above 0.
-
-    Each level is one expression: the racks' and shards' draws are made for the branch that was taken only.
-    """
+    """The shard of a key. Weights must not be negative, and one of them must be above 0. Equal draws go to the smaller shard."""
     if any(w < 0 for w in weights) or not sum(weights) > 0:
         raise ValueError("weights must not be negative, and one must be above 0")
-
-    def of_rack(r: int, k: int, shards: list[tuple[int, float]]) -> Column:
-        return least(key, [(f"shard/{s}", w, F.lit(s)) for s, w in shards])
-
-    def of_region(r: int, racks: list) -> Column:
-        live = [(k, x) for k, x in enumerate(racks) if sum(w for _, w in x) > 0]
-        taken = least(key, [(f"rack/{r}/{k}", sum(w for _, w in x), F.lit(k)) for k, x in live])
-        out = of_rack(r, *live[-1])
-        for k, x in live[:-1]:
-            out = F.when(taken == k, of_rack(r, k, x)).otherwise(out)
-        return out
-
-    live = [(r, x) for r, x in enumerate(topology(weights, rack, region)) if sum(w for y in x for _, w in y) > 0]
-    taken = least(key, [(f"region/{r}", sum(w for y in x for _, w in y), F.lit(r)) for r, x in live])
-    out = of_region(*live[-1])
-    for r, x in live[:-1]:
-        out = F.when(taken == r, of_region(r, x)).otherwise(out)
-    return out.cast("int")
+    shard = lambda s, w: F.struct(F.lit(s).alias("s"), F.lit(f"shard/{s}").alias("name"), F.lit(float(w)).alias("w"))
+    tree = F.array(*(F.array(*(F.array(*(shard(s, w) for s, w in k)) for k in r)) for r in topology(weights, rack, region)))
+    of_rack = lambda k: F.array_min(F.transform(k, lambda x: F.struct(draw(key, x["name"], x["w"]).alias("d"), x["s"].alias("s"))))
+    of_region = lambda r: F.array_min(F.transform(r, of_rack))
+    return F.array_min(F.transform(tree, of_region))["s"].cast("int")
 
 
 def shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", out: str = "shard") -> DataFrame:
-    """docs with the shard of every row, all columns kept. Null ids are one key of their own."""
-    return docs.withColumn(out, tree_shard(F.coalesce(F.col(id_col).cast("string"), F.lit("")), weights))
+    """docs with the shard of every row in the column ``out``.
+
+    All columns are kept; one that has this name already goes on as the first free one of ``out``_1, ``out``_2, ...
+    Null ids are one key of their own, repeated rows have one shard, and an empty table gives an empty one.
+    """
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    if out not in docs.columns:
+        return docs.withColumn(out, tree_shard(key, weights))
+    free = next(x for k in range(1, len(docs.columns) + 2) if (x := f"{out}_{k}") not in docs.columns)
+    placed = tree_shard(F.coalesce(F.col(free if id_col == out else id_col).cast("string"), F.lit("")), weights)
+    return docs.withColumnRenamed(out, free).withColumn(out, placed)
 
 
 def op6_hierarchical_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law "key": the id and the number of shards decide; one more shard takes rows only into itself."""
+    """Law "key": the id and the number of shards decide; one more shard takes rows only into itself.
+
+    Null ids are one key, null texts have no bytes; repeated rows are placed alike and have slots of their own.
+    Columns besides doc_id and text are not looked at. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = rows.select("*", F.lit("key").alias("law"), tree_shard(key, [1.0] * SHARDS).alias("shard"), tree_shard(key, [1.0] * (SHARDS + 1)).alias("grown_shard"))
-    ranked = with_rank(rows, F.col("shard"), [F.col("doc_id"), F.col("text_crc32")], F.col("doc_id"), "slot", CHUNKS)
+    ranked = with_rank(rows, F.col("shard"), [F.col("doc_id"), F.col("text_crc32")], F.struct("doc_id", "text_crc32"), "slot", CHUNKS)
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from texts import documents, empty, rows, saved
 
@@ -22,21 +24,44 @@ def test_shares_follow_the_weights(spark):
         assert abs(got[s] / 60_000 - w / 12) < 0.01
 
 
-def test_one_more_shard_takes_only_into_itself(spark):
-    a, z = placed(spark, 20_000, [1.0] * 40), placed(spark, 20_000, [1.0] * 41)
+def plain(key: str, weights, rack=op.RACK, region=op.REGION):
+    """Placement by plain descent: regions, racks and shards by the least draw within them."""
+    def draw(s):
+        h = xxhash.xxh64_intdigest(f"shard/{s}".encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+        return -math.log(((h >> 12) + 0.5) / (1 << 52)) / weights[s]
+
+    def least(shards):
+        return min(((draw(s), s) for s in shards if weights[s] > 0), default=(math.inf, -1))
+
+    shards = list(range(len(weights)))
+    while len(shards) > rack:  # down to a rack: by the part with the least draw
+        size = rack * region if len(shards) > rack * region else rack
+        shards = min((shards[k : k + size] for k in range(0, len(shards), size)), key=least)
+    return least(shards)[1]
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 40, [1.0] * 41, [1.0, 2.5, 0.0, 4.0, 1.0, 0.0, 3.0, 0.5, 1.0, 1.0, 2.0, 0.0, 0.0], [0.0, 2.0]])
+def test_placement_against_a_plain_descent(spark, weights):
+    got = placed(spark, 3000, weights)
+    assert got == {k: plain(str(k), weights) for k in range(3000)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 9, 10, 39, 40, 41, 42, 45, 46, 50, 99])
+def test_one_more_shard_takes_only_into_itself_whatever_their_number(spark, n):
+    a, z = placed(spark, 8000, [1.0] * n), placed(spark, 8000, [1.0] * (n + 1))
     moved = [k for k in a if a[k] != z[k]]
-    assert all(z[k] == 40 for k in moved) and abs(len(moved) / 20_000 - 1 / 41) < 0.01
+    assert all(z[k] == n for k in moved) and abs(len(moved) / 8000 - 1 / (n + 1)) < 0.025
 
 
-def test_a_changed_weight_moves_only_into_or_out_of_its_subtree(spark):
+def test_a_changed_weight_moves_only_into_or_out_of_its_shard(spark):
     before = [1.0] * 40
     after = list(before)
-    after[12] = 3.0  # shard 12: rack 2 (10 to 14), region 1 (10 to 19)
+    after[12] = 3.0
     a, z = placed(spark, 20_000, before), placed(spark, 20_000, after)
-    for k in a:
-        if a[k] != z[k]:
-            assert z[k] // 10 == 1 and (z[k] // 5 == 2 or a[k] // 10 != 1 or a[k] // 5 != 2)
-            assert z[k] == 12 or a[k] // 5 != 2 or z[k] // 5 != 2  # within the rack all moves go to shard 12
+    assert all(z[k] == 12 for k in a if a[k] != z[k]) and any(a[k] != z[k] for k in a)
+    after[12] = 0.5
+    z = placed(spark, 20_000, after)
+    assert all(a[k] == 12 for k in a if a[k] != z[k]) and any(a[k] != z[k] for k in a)
 
 
 def test_weights_must_be_sensible():
@@ -73,3 +98,9 @@ def test_the_plan_has_no_python(spark, tmp_path, capsys):
 def test_all_columns_are_kept(spark):
     table = documents(spark)
     assert op.shard(table, [1.0, 1.0], out="home").columns == [*table.columns, "home"]
+    got = op.shard(table, [1.0, 1.0])  # the table has a column shard
+    assert got.columns == [*("shard_1" if c == "shard" else c for c in table.columns), "shard"]
+    assert {r["shard_1"] for r in got.collect()} == {"s"} and {r["shard"] for r in got.collect()} == {0, 1}
+    assert op.shard(empty(spark), [1.0]).count() == 0
+    ids = table.select("doc_id")
+    assert op.shard(ids, [1.0, 1.0], out="doc_id").columns == ["doc_id_1", "doc_id"]
