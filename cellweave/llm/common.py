@@ -14,19 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key is hot if it has over HOT_ROWS rows and over a HOT_KEYS-th of all: there are HOT_KEYS of these at most.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+#: Rounds of the component search, which halves what is left in a round or two.
+MOST_ROUNDS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on one machine may it be unset: a temporary folder then."""
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/cellweave-{spark.sparkContext.applicationId}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _own_dirs:
+            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
+        base = _own_dirs[app]
+    return f"{base}/cellweave-{app}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -88,18 +98,28 @@ def with_rank(df: DataFrame, group: Column, order: list[Column], chunk_of: Colum
     return local.join(offsets, ["__g", "__c"]).select(*cols, (F.col("__o") + F.col("__r")).cast("long").alias(out))
 
 
+def join_hot(rows: DataFrame, side: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key, whose column ``size`` says how many rows have the key, ``total`` being all.
+
+    Hot keys, which are HOT_KEYS at most, are broadcast, so that no task gets all rows of one; the others are shuffled.
+    """
+    hot = F.col(size) > max(HOT_ROWS, total // HOT_KEYS)
+    first = rows.join(F.broadcast(side.where(hot).drop(size)), on)
+    rest = rows.join(F.broadcast(side.where(hot).select(on)), on, "left_anti")
+    return first.unionByName(rest.join(side.where(~hot).drop(size), on, how))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of (a, b) long edges: rows (node, component = the smallest node reachable).
 
-    Alternates large-star and small-star steps until the edges are stars. Every round is an aggregation by
-    node and a join with it; a hub is one row of the aggregate, and its edges are split by adaptive
-    execution. Each round is written to the shared folder.
+    Alternates large-star and small-star steps until the edges are stars; raises if they don't become such. Every
+    round is an aggregation by node and a join with it; a hub is one row of the aggregate, and its edges are split
+    by adaptive execution. Each round is written to the shared folder.
     """
     a, b, m = F.col("a"), F.col("b"), F.col("m")
-    spark = edges.sparkSession
     cur = written(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
     last = None
-    for _ in range(60):
+    for _ in range(MOST_ROUNDS):
         # Large star: every larger neighbour of a node points to the smallest of it and its neighbours.
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -111,9 +131,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         new = written(small.distinct(), name)
         sign = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if sign == last:
-            break
+            return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         last, cur = sign, new
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    raise RuntimeError(f"the components are not found after {MOST_ROUNDS} rounds")
 
 
 def varpack(values: np.ndarray) -> bytes:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import ascii_words, components, table, type_of, written
+from cellweave.llm.common import ascii_words, components, join_hot, table, type_of, written
 
 BITS = 64
 #: Postings of a block of a signature that has more.
@@ -248,37 +248,51 @@ def links(fps: DataFrame, distance: int, parts: list[list[int]], thresholds: lis
     return rows.repartition("key").sortWithinPartitions("key", "near").mapInArrow(run, "a long, b long")
 
 
+def classes(docs: DataFrame, distance: int, shingle: int, id_col: str, text_col: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, and (fp, n: its rows, component, component_id, chosen: whether the component's first row has it) of every fingerprint."""
+    rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
+    fps = nodes.select("fp")
+    parts, thresholds = scheme(fps, distance)
+    found = components(links(fps, distance, parts, thresholds, block), "components").withColumnRenamed("node", "fp")
+    # Only nodes with links are of another component than their own.
+    linked = written(found.join(nodes.select("fp", "low"), "fp"), "linked")
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("first")
+    firsts = linked.groupBy("component").agg(first, F.count(F.lit(1)).alias("n"))
+    named = join_hot(linked.select("fp", "component"), firsts, "component", "n", linked.count())
+    chosen = F.when(F.col("first").isNull(), True).otherwise(F.col("first.fp") == F.col("fp"))
+    low = F.when(F.col("first").isNull(), F.col("low")).otherwise(F.col("first.low"))
+    return rows, written(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), low.alias("component_id"), chosen.alias("chosen")), "named")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest id reachable over links.
 
     Equal fingerprints are one node, so exact copies make no links. Texts without words (null, empty) have
     fingerprint zero and are linked like any other; texts of fewer words than a shingle are one shingle.
     Rows of a null id belong to the component of their fingerprint and give it no id; a component of such rows
-    only has none. Repeated rows give repeated rows; an empty table gives none.
+    only has none. Repeated rows give repeated rows; an empty table gives none. Other columns are not looked at.
     """
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
-    fps = nodes.select("fp")
-    parts, thresholds = scheme(fps, distance)
-    found = components(links(fps, distance, parts, thresholds, block), "components")
-    labels = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    low = labels.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = labels.join(low, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    rows, named = classes(docs, distance, shingle, id_col, text_col, block)
+    return join_hot(rows, named.select("fp", "n", "component_id"), "fp", "n", rows.count()).select(id_col, "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns kept, with one row of each component: the document of the smallest id.
+    """docs, all columns kept, with one row of each component: one of the smallest id (null ids last), and of several fingerprints of that id the smallest.
 
-    Rows of a null id stay, as nothing names them. Of several rows of one id an arbitrary one stays.
+    Of rows of one id and fingerprint an arbitrary one stays.
     """
-    found = near_duplicates(docs, distance, shingle, id_col, text_col)
-    kept = written(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
-    again = kept.where("n > 1").select(id_col)
-    if again.limit(1).count():
-        out = out.join(again, id_col, "left_anti").select(*docs.columns).union(out.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
-    return out.union(docs.where(F.col(id_col).isNull()))
+    _, named = classes(docs, distance, shingle, id_col, text_col)
+    kept = named.where("chosen").select(F.col("fp").alias("__fp"), F.col("component_id").alias("__low"))
+    at = docs.columns.index(text_col)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield batch.append_column("__own", pa.array(fp))
+
+    own = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("__own", T.LongType())]))
+    return own.join(kept, (F.col("__own") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__low")), "left_semi").dropDuplicates(["__own"]).select(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
