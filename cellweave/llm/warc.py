@@ -18,11 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import scratch_path, table, type_of, written
+from cellweave.llm.common import join_hot, scratch_path, table, type_of, written
 
 DATE = "2024-01-01T00:00:00Z"
 SEGMENT = 64 * 1024
@@ -82,11 +82,12 @@ def header(fields: list[tuple[str, object]]) -> str:
     return "WARC/1.1\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in fields) + "\r\n"
 
 
-def records(page: str, urn: str, url: str | None, payload: str, digest: str, refers_to: str | None, segment: int) -> list[str]:
-    """The WARC records of one page, without their ends."""
-    own = [("WARC-Record-ID", f"<{urn}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", page)]
+def records(page: str | None, urn: str, url: str | None, payload: str, digest: str, length: int, refers_to: str | None, segment: int) -> list[str]:
+    """The WARC records of one page, without their ends; page is its id as it may stand in a header."""
+    own = [("WARC-Record-ID", f"<{urn}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", f"sha256:{digest}"), *([] if page is None else [("X-Page-ID", page)])]
     if refers_to is not None:
-        return [header([("WARC-Type", "revisit"), *own, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{refers_to}>"), ("Content-Length", 0)])]
+        profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        return [header([("WARC-Type", "revisit"), *own, profile, ("WARC-Refers-To", f"<{refers_to}>"), ("X-Payload-Length", length), ("Content-Length", 0)])]
     block = HTTP.decode() + chunked(payload)
     parts = cut(block, segment)
     sizes = [len(p.encode("utf-8")) for p in parts]
@@ -105,35 +106,39 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, least: i
 
     Of pages with equal payloads of at least ``least`` bytes the one with the smallest id is the response
     (nulls last; of repeated rows one), the others revisit it. Only digests are grouped, by partial
-    aggregation; a payload moves once, to meet its page's role.
+    aggregation; a payload moves once, to meet its page's role. Null payloads are empty, ids are percent-encoded
+    (a null id has no header), line ends in urls too; an empty table makes archives without records.
     """
     payload = F.coalesce(F.col(text_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("n"))
     # Rows are told apart by page and digest, which a recomputed plan gives again; a row number it may not.
-    kinds = rows.groupBy("page", "digest").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-    firsts = kinds.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("first"))
+    kinds = written(rows.groupBy("page", "digest").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")), "kinds")
+    firsts = kinds.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("first"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("rows"))
+    # A payload that one row has only needs no role.
+    firsts = written(firsts.where("rows > 1").drop("rows"), "firsts")
     same = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("page"))
-    roles = kinds.join(firsts, "digest", "left").select(F.col("page").alias("p"), F.col("digest").alias("d"), "m", "first", F.col("first").eqNullSafe(same("page")).alias("lead"))
+    roles = join_hot(kinds, firsts, "digest", "k", kinds.count(), "left").select(F.col("page").alias("p"), F.col("digest").alias("d"), "m", "n", "first", F.col("first").eqNullSafe(same("page")).alias("lead"))
     roles = written(roles, "roles")
-    of_role = lambda roles: rows.join(roles, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d", "n")
+    of_role = lambda roles: rows.drop("n").join(roles, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d")
     alone, many = F.col("first").isNull() | F.col("lead"), F.col("lead") & (F.col("m") > 1)
-    made = of_role(roles).where(~many).select("page", "url", F.when(alone, F.col("payload")).alias("payload"), "digest", "first", alone.alias("response"))
+    made = of_role(roles).where(~many).select("page", "url", F.when(alone, F.col("payload")).alias("payload"), "digest", "n", "first", alone.alias("response"))
     if roles.where(many).limit(1).count():
         # Repeated rows of the page that leads are one response and revisits of it, which are made from their number.
-        repeated = of_role(roles.where(many)).groupBy("page", "digest").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("first").alias("first"), F.first("m").alias("m"))
-        repeated = repeated.select("page", "url", "payload", "digest", "first", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i"))
-        made = made.union(repeated.select("page", "url", F.when(F.col("i") == 1, F.col("payload")).alias("payload"), "digest", "first", (F.col("i") == 1).alias("response")))
-    name = lambda page, digest: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), digest)
+        repeated = of_role(roles.where(many)).groupBy("page", "digest").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("m").alias("m"))
+        repeated = repeated.select("page", "url", "payload", "digest", "n", "first", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i"))
+        made = made.union(repeated.select("page", "url", F.when(F.col("i") == 1, F.col("payload")).alias("payload"), "digest", "n", "first", (F.col("i") == 1).alias("response")))
+    encoded = lambda page: F.url_encode(page.cast("string"))
+    name = lambda page, digest: F.concat(F.when(page.isNull(), F.lit("urn:nopage:")).otherwise(F.concat(F.lit("urn:page:"), encoded(page), F.lit(":"))), digest)
     refers = F.when(F.col("first").isNotNull(), name(F.col("first.page"), F.col("digest")))
-    joined = made.select(F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page"), "url", "payload", "digest", refers.alias("refers"), "response")
+    joined = made.select(encoded(F.col("page")).alias("page"), "url", "payload", "digest", "n", refers.alias("refers"), "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 # A response that others refer to has the name that they know; all else has one of its own.
                 lead = row["response"] and row["refers"] is not None
-                urn = row["refers"] if lead else f"urn:page:{row['page']}:{uuid.uuid4().hex}"
-                made = records(row["page"], urn, row["url"], row["payload"] or "", row["digest"], None if row["response"] else row["refers"], segment)
+                urn = row["refers"] if lead else f"urn:uuid:{uuid.uuid4()}"
+                made = records(row["page"], urn, row["url"], row["payload"] or "", row["digest"], row["n"], None if row["response"] else row["refers"], segment)
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
     joined.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
@@ -186,26 +191,39 @@ def http_payload(block: bytes) -> bytes:
     return dechunked(body) if names.get(b"transfer-encoding") == b"chunked" else body
 
 
+SCHEMA = pa.schema([*((x, pa.string()) for x in ("urn", "origin", "type", "page", "digest", "refers")), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("n", pa.int64())])
 RECORD = "urn string, origin string, type string, page string, digest string, refers string, number int, total long, block binary, n long"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: whole responses are decoded at once (block is null, n and digest are the payload's); segments keep their block."""
+def verified(urn: str, payload: bytes, digest: str) -> str:
+    own = hashlib.sha256(payload).hexdigest()
+    if digest and own != digest:
+        raise WarcError(f"the payload of {urn} does not have its digest")
+    return own
+
+
+def row_of(fields: dict[str, str], block: bytes, payloads: bool) -> dict:
+    """A record as a row of RECORD: of a whole response n and digest are the payload's; a segment keeps its block."""
+    kind, number, total = fields["warc-type"], fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+    urn, refers, length = fields["warc-record-id"].strip("<>"), fields.get("warc-refers-to"), fields.get("x-payload-length")
+    row = {"urn": urn, "origin": fields.get("warc-segment-origin-id", urn).strip("<>"), "type": kind, "page": fields.get("x-page-id"), "digest": fields.get("warc-payload-digest", "").removeprefix("sha256:")}
+    row |= {"refers": refers.strip("<>") if refers else None, "number": int(number) if number else None, "total": int(total) if total else None, "block": block if number else None, "n": int(length) if length else None}
+    if kind == "response" and not number:
+        payload = http_payload(block)
+        row |= {"n": len(payload), "digest": verified(urn, payload, row["digest"]), "block": payload if payloads else None}
+    return row
+
+
+def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """A row for each record; with ``payloads`` the block of a whole response is its payload, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
-                for f, block in parse_records(data.as_py()):
-                    kind, number = f["warc-type"], f.get("warc-segment-number")
-                    urn, total = f["warc-record-id"].strip("<>"), f.get("warc-segment-total-length")
-                    row = {"urn": urn, "origin": f.get("warc-segment-origin-id", f["warc-record-id"]).strip("<>"), "type": kind, "page": f.get("x-page-id"), "digest": f.get("warc-payload-digest", "").removeprefix("sha256:")}
-                    row |= {"refers": f["warc-refers-to"].strip("<>") if "warc-refers-to" in f else None, "number": int(number) if number else None, "total": int(total) if total else None, "block": block if number else None, "n": None}
-                    if kind == "response" and not number:
-                        payload = http_payload(block)
-                        row |= {"n": len(payload), "digest": verified(urn, payload, row["digest"])}
-                    rows.append(row)
-                    held += len(block) if number else 0
+                for fields, block in parse_records(data.as_py()):
+                    rows.append(row_of(fields, block, payloads))
+                    held += len(rows[-1]["block"] or b"")
                     if held > 1 << 23:
                         yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                         rows, held = [], 0
@@ -214,23 +232,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
 
 
-SCHEMA = pa.schema([*((x, pa.string()) for x in ("urn", "origin", "type", "page", "digest", "refers")), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("n", pa.int64())])
-
-
-def verified(urn: str, payload: bytes, digest: str) -> str:
-    own = hashlib.sha256(payload).hexdigest()
-    if digest and own != digest:
-        raise WarcError(f"the payload of {urn} does not have its digest")
-    return own
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(urn, page, type, payload_digest, payload_bytes, refers): a row for each record, continuations put together.
+def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """(urn, page, type, payload_digest, payload_bytes, refers, with ``payloads`` also payload): a row for each record, continuations put together.
 
-    Segments meet by origin: a task holds one record at a time. A revisit gets length and digest from the
-    record that it refers to, which must be there and have the digest that it states.
+    page is as it stands in the header. Segments meet by origin: a task holds one record at a time. A revisit states
+    length and digest of the record that it refers to; the different statements, one for each such record, are held
+    against the responses before anything is returned.
     """
-    found = read_records(spark, path)
+    found = read_records(spark, path, payloads)
     segments = found.where("number IS NOT NULL")
 
     def join(group: pa.Table) -> pa.Table:
@@ -240,54 +249,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             raise WarcError(f"{rows[0]['origin']} has no first segment")
         payload = http_payload(whole_block(first["urn"], [(r["number"], r["total"], r["block"]) for r in rows]))
         digest = verified(first["urn"], payload, first["digest"])
-        return pa.Table.from_pylist([first | {"n": len(payload), "digest": digest, "block": None}], SCHEMA)
+        return pa.Table.from_pylist([first | {"n": len(payload), "digest": digest, "block": payload if payloads else None}], SCHEMA)
 
     whole = found.where("number IS NULL").union(segments.groupBy("origin").applyInArrow(join, RECORD))
-    responses = whole.where("type = 'response'").select("urn", "page", "type", "digest", "n", F.lit(None).cast("string").alias("refers"))
-    to = responses.select(F.col("urn").alias("refers"), F.col("digest").alias("d"), F.col("n").alias("m"))
-    revisits = whole.where("type = 'revisit'").select("urn", "page", "type", "digest", "refers").join(to, "refers", "left")
-    bad = F.raise_error(F.concat(F.lit("revisit without its response: "), F.col("urn")))
-    revisits = revisits.select("urn", "page", "type", F.when(F.col("d") == F.col("digest"), F.col("d")).otherwise(bad.cast("string")).alias("digest"), F.col("m").alias("n"), "refers")
-    return responses.union(revisits).select("urn", "page", "type", F.col("digest").alias("payload_digest"), F.col("n").alias("payload_bytes"), "refers")
-
-
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(page, payload: text) of every response, whole or in segments."""
-    found = read_segments(spark, path)
-
-    def join(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        page = next((r["page"] for r in rows if r["type"] == "response"), None)
-        block = whole_block(rows[0]["origin"], [(r["number"], r["total"], r["block"]) for r in rows])
-        return pa.table({"page": [page], "payload": [http_payload(block).decode("utf-8", "replace")]}, schema=pa.schema([("page", pa.string()), ("payload", pa.string())]))
-
-    return found.groupBy("origin").applyInArrow(join, "page string, payload string")
-
-
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Every response or continuation with its block; an uncut response is segment 1 of its own length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                for f, block in parse_records(data.as_py()):
-                    if f["warc-type"] in ("response", "continuation"):
-                        urn, number, total = f["warc-record-id"].strip("<>"), f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                        row = {"urn": urn, "origin": f.get("warc-segment-origin-id", urn).strip("<>"), "type": f["warc-type"], "page": f.get("x-page-id"), "number": int(number or 1), "total": int(total) if total else None if number else len(block), "block": block}
-                        yield pa.RecordBatch.from_pylist([row], SCHEMA)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
+    whole = written(whole.select("urn", "page", "type", F.col("digest").alias("payload_digest"), F.col("n").alias("payload_bytes"), "refers", *(["block"] if payloads else [])), "records")
+    stated = whole.where("type = 'revisit'").select("refers", "payload_digest", "payload_bytes").distinct()
+    responses = whole.where("type = 'response'").select(F.col("urn").alias("refers"), "payload_digest", "payload_bytes")
+    if bad := stated.join(responses, ["refers", "payload_digest", "payload_bytes"], "left_anti").select("refers").head(1):
+        raise WarcError(f"revisits of {bad[0][0]} without a response of the digest and length that they state")
+    return whole.withColumnRenamed("block", "payload")
 
 
 def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    kind = type_of(pages, "page_id")
     back = read_archives(spark, path)
-    refers = F.regexp_extract("refers", "^urn:page:(.*):[0-9a-f]+$", 1)
-    id_of = lambda c: F.when(c != "", c).cast(kind)
-    return back.select(id_of(F.col("page")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), id_of(refers).alias("refers_to"))
+    id_of = lambda c: F.url_decode(c).cast(type_of(pages, "page_id"))
+    return back.select(id_of(F.col("page")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), id_of(refers_page(F.col("refers"))).alias("refers_to"))
+
+
+def refers_page(refers: Column) -> Column:
+    """The encoded id in the name of a response that is referred to; null where it has none."""
+    return F.when(refers.startswith("urn:page:"), F.regexp_extract(refers, "^urn:page:([^:]*):", 1))
 
 
 OP10_SQL = """

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import warc as op
 
@@ -41,13 +42,37 @@ def want(rows):
 def test_round_trip(spark, tmp_path, segment):
     path = f"file://{tmp_path}/w"
     op.write_archives(spark.createDataFrame(pages(), SCHEMA).repartition(3), path, segment=segment)
-    back = op.read_archives(spark, path).collect()
-    refers = lambda r: None if r["refers"] is None else r["refers"].split(":")[2] or None
-    got = Counter((int(r["page"]) if r["page"] else None, r["payload_bytes"], r["payload_digest"], r["type"], None if refers(r) is None else int(refers(r))) for r in back)
+    back = op.read_archives(spark, path, payloads=True).select("*", op.refers_page(F.col("refers")).alias("first")).collect()
+    whole = lambda x: None if x is None else int(x)
+    got = Counter((whole(r["page"]), r["payload_bytes"], r["payload_digest"], r["type"], whole(r["first"])) for r in back)
     assert got == want(pages())
-    texts = Counter(r["payload"] for r in op.read_payloads(spark, path).collect())
+    texts = Counter(r["payload"].decode() for r in back if r["type"] == "response")
     leads = [h or "" for (i, n, d, kind, _), k in want(pages()).items() for _ in range(k) if kind == "response" for h in [next(p[2] for p in pages() if hashlib.sha256((p[2] or "").encode()).hexdigest() == d)]]
-    assert texts == Counter(leads)
+    assert texts == Counter(leads) and all(r["payload"] is None for r in back if r["type"] == "revisit")
+
+
+def test_ids_of_any_characters_come_back(spark, tmp_path):
+    ids = ["", " ", " a ", "a\r\nWARC-Type: revisit", "x:y:z", "%0D", "é日+ %", None, "plain"]
+    rows = [(i, "u", f"page {k % 4} " * 30) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter(map(tuple, op.op10_warc_reassembly(spark, str(tmp_path)).collect()))
+    first = {}
+    for i, _, h in rows:
+        first[h] = min(first.get(h, (i is None, i or "")), (i is None, i or ""))
+    plain = Counter()
+    for i, _, h in rows:
+        lead = (i is None, i or "") == first[h]
+        plain[i, len(h), hashlib.sha256(h.encode()).hexdigest(), "response" if lead else "revisit", None if lead else first[h][1]] += 1
+    assert got == plain
+
+
+def test_revisits_need_their_response(spark, tmp_path):
+    own = dict(url="u", payload="", digest="0" * 64, length=5, segment=100)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/part-0").write_bytes((op.records("1", "urn:uuid:1", refers_to="urn:page:2:x", **own)[0] + op.END).encode())
+    with pytest.raises(op.WarcError):
+        op.read_archives(spark, f"file://{tmp_path}/w")
 
 
 def test_empty_table(spark, tmp_path):
