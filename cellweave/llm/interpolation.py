@@ -7,16 +7,17 @@ all training documents are used.
 
 Counting by request and answer: a task numbers the words of a batch of documents and asks, for the distinct
 n-grams of the batch, for the counts of the whole corpus. Requests meet by a hash of the n-gram, one row for each
-batch and share of the hash space, so no word or phrase, however common, is more than one entry of a batch. The
-answers, a table in the shared folder, go back to the batches, which score their documents. The batches are
-made anew from the texts each time, which is less than storing them; an answer tells if its batch has changed.
+batch and share of the hash space, so no word or phrase, however common, is more than one entry of a batch; there are
+as many shares as the corpus is large. The answers, a table in the shared folder, go back to the batches, which score
+their documents. The batches are made anew from the texts, which is less than storing them; an answer tells if its
+batch has changed. Deleted documents have batches of their own, so that learning the weights looks at these only.
 
 n-grams are 56-bit hashes: a collision among a billion of them would give one a wrong count in 70 million.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,14 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from cellweave.llm.common import ascii_words, shuffle_partitions, table, trim, type_of, varpack, varunpack, written
 
-ORDER = 2
+ORDER = 3
 #: Tokens of a batch: what a task holds at a time.
-BATCH_TOKENS = 1_250_000
+BATCH_TOKENS = 1_000_000
+#: Bytes of text whose requests are a share of the hash space: what a task that answers holds at a time.
+SHARE_BYTES = 16 << 20
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
-#: Cells a unit of the logarithm of a ratio of probabilities; bounds of the exponent; buckets of an order.
-FINE, WIDEST, BUCKETS = 8, 400, 24
+#: Cells a unit of the logarithm of a ratio of probabilities (tokens of a cell go by their mean ratios); bounds of the exponent; buckets of an order.
+FINE, WIDEST, BUCKETS = 16, 480, 24
 #: Words can't have white space, so these are no words.
 END_WORD, START_WORD = b" ", b"  "
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -62,37 +65,38 @@ class Batch:
 
     def __init__(self, keys: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int):
         """keys: of the distinct words; tokens: word numbers, each document's last one the end; sizes: tokens of each document."""
-        start = word_keys([START_WORD])[0]
         first = np.zeros(len(tokens), bool)
         first[np.cumsum(sizes) - sizes] = True
+        # Before a document there are as many starts as a context is long.
+        starts = [word_keys([START_WORD])]
         grams, words = [keys[tokens]], keys[tokens]
         for _ in range(1, order):
             context = np.empty_like(words)
             context[1:] = grams[-1][:-1]
-            context[first] = start
+            context[first] = starts[-1][0]
             grams.append(joined_keys(context, words))
-        entries = [entry(g, k == 0) for k, g in enumerate(grams)]
-        start_entry = entry(np.array([start]), False)
-        self.keys, at = np.unique(np.concatenate([entry(keys, True), start_entry, *entries[1:]]), return_inverse=True)
-        at = at.astype(np.int32)
-        self.start = int(at[len(keys)])
-        n = len(tokens)
-        self.grams = [at[: len(keys)][tokens], *(at[len(keys) + 1 + k * n : len(keys) + 1 + (k + 1) * n] for k in range(order - 1))]
+            starts.append(joined_keys(starts[-1], starts[0]))
+        own = [entry(keys, True), *(entry(s, False) for s in starts[: order - 1]), *(entry(g, False) for g in grams[1:])]
+        self.keys, at = np.unique(np.concatenate(own), return_inverse=True)
+        at = np.split(at.astype(np.int32), np.cumsum([len(x) for x in own])[:-1])
+        self.starts, self.grams = at[1:order], [at[0][tokens], *at[order:]]
         self.contexts = []
-        for g in self.grams[:-1]:  # the context of order k + 1 is the n-gram of order k that ends before
+        for g, start in zip(self.grams, self.starts, strict=False):  # the context of order k + 1 is the n-gram of order k that ends before
             c = np.empty_like(g)
             c[1:] = g[:-1]
-            c[first] = self.start
+            c[first] = start
             self.contexts.append(c)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
 
     def counts(self, docs: np.ndarray) -> np.ndarray:
-        """Counts of every key in the given documents (a mask); a document counts one start."""
+        """Counts of every key in the given documents (a mask); a document counts one start of each length."""
         use = docs[self.doc]
-        out = np.bincount([self.start], [docs.sum()], len(self.keys))
+        out = np.zeros(len(self.keys), np.int64)
+        for start in self.starts:
+            out[start] += docs.sum()
         for g in self.grams:
             out += np.bincount(g[use], minlength=len(self.keys))
-        return out.astype(np.int64)
+        return out
 
 
 def share_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -140,54 +144,72 @@ class Numbers(dict):
         return n
 
 
-def encoded(docs: DataFrame, order: int, parts: int, batch_tokens: int, asks: bool) -> DataFrame:
-    """Rows of the batches: their distinct n-grams by share of the hash space, with their counts in training and deleted documents (asks); or their documents."""
+def encoded(docs: DataFrame, order: int, parts: int, batch_tokens: int, asks: bool, deleted_only: bool = False) -> DataFrame:
+    """Rows of the batches: their distinct n-grams by share of the hash space, with their counts in training documents (asks); or their documents.
+
+    Batches of deleted documents have odd numbers.
+    """
     kind = type_of(docs, "doc_id")
     if asks:
-        schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("keys", "train", "deleted"))])
+        schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("keys", "train"))])
     else:
         schema = T.StructType([T.StructField("batch", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("keys", "tokens")), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("sizes", "folds"))])
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
-        ids, folds, pieces, numbers, held = [], [], [], Numbers(), 0
-        end = numbers[END_WORD]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            number, sizes, fold = (task << 32) + made, np.array([len(p) for p in pieces]), np.array(folds)
-            tokens, keys = np.concatenate(pieces), word_keys(list(numbers))
-            if not asks:
-                yield pa.RecordBatch.from_pylist([{"batch": number, "keys": keys.tobytes(), "tokens": planes(tokens), "ids": ids, "sizes": sizes.tolist(), "folds": folds}], schema=arrow)
+    class Held:
+        """Documents of the batch that is being gathered."""
+
+        def __init__(self, number: int):
+            self.number = number
+            self.begin()
+
+        def begin(self) -> None:
+            self.ids, self.folds, self.pieces, self.numbers, self.n = [], [], [], Numbers(), 0
+            self.end = self.numbers[END_WORD]
+
+        def add(self, key: object, words: list[bytes], fold: int) -> None:
+            piece = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+            self.pieces.append(np.append(piece, np.int32(self.end)))
+            self.ids.append(key)
+            self.folds.append(fold)
+            self.n += len(words) + 1
+
+        def rows(self) -> Iterator[pa.RecordBatch]:
+            if not self.pieces:
                 return
-            batch = Batch(keys, tokens, sizes, order)
-            train, deleted = batch.counts(fold != HELD_OUT), batch.counts(fold == DELETED)
-            edges = np.searchsorted(share_of(batch.keys, parts), np.arange(parts + 1))
-            for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-                if lo < hi:
-                    row = {"batch": number, "part": p, "keys": pack_sorted(batch.keys[lo:hi]), "train": squeezed(varpack(train[lo:hi])), "deleted": squeezed(varpack(deleted[lo:hi]))}
-                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
+            sizes, tokens, keys = np.array([len(p) for p in self.pieces]), np.concatenate(self.pieces), word_keys(list(self.numbers))
+            if asks:
+                batch = Batch(keys, tokens, sizes, order)
+                train = batch.counts(np.array(self.folds) != HELD_OUT)
+                edges = np.searchsorted(share_of(batch.keys, parts), np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[p], edges[p + 1])
+                    yield pa.RecordBatch.from_pylist([{"batch": self.number, "part": p, "keys": pack_sorted(batch.keys[own]), "train": squeezed(varpack(train[own]))}], schema=arrow)
+            else:
+                yield pa.RecordBatch.from_pylist([{"batch": self.number, "keys": keys.tobytes(), "tokens": planes(tokens), "ids": self.ids, "sizes": sizes.tolist(), "folds": self.folds}], schema=arrow)
+            self.number += 2
+            self.begin()
+            trim()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        rest, deleted = Held(task), Held(task + 1)
         for batch in batches:
             for key, text, fold in zip(*(batch.column(k) for k in range(3)), strict=True):
-                words = ascii_words(text.as_py())
-                piece = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-                pieces.append(np.append(piece, np.int32(end)))
-                ids.append(key.as_py())
-                folds.append(fold.as_py())
-                held += len(words) + 1
-                if held >= batch_tokens:
-                    yield from flush()
-                    made += 1
-                    ids, folds, pieces, numbers, held = [], [], [], Numbers(), 0
-                    end = numbers[END_WORD]
-                    trim()
-        if pieces:
-            yield from flush()
-        trim()
+                fold = fold.as_py()
+                if deleted_only and fold != DELETED:
+                    continue
+                held = deleted if fold == DELETED else rest
+                held.add(key.as_py(), ascii_words(text.as_py()), fold)
+                if held.n >= batch_tokens:
+                    yield from held.rows()
+        for held in (rest, deleted):
+            yield from held.rows()
 
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
-    return docs.select("doc_id", "text", fold.alias("fold")).mapInArrow(run, schema)
+    # All rows go through, so that partitions are the same; texts that are not looked at stay behind.
+    text = F.when(F.col("fold") == DELETED, F.col("text")) if deleted_only else F.col("text")
+    return docs.select("doc_id", "text", fold.alias("fold")).select("doc_id", text.alias("text"), "fold").mapInArrow(run, schema)
 
 
 ANSWER = T.StructType([T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("deleted", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in ("sign", "unigrams", "train_tokens", "deleted_tokens"))])
@@ -198,7 +220,7 @@ def signature(keys: np.ndarray) -> int:
 
 
 def answered(asks: DataFrame) -> DataFrame:
-    """The corpus counts of every batch's n-grams, in the order of its request, and a sum of the keys as its sign.
+    """The corpus counts of every batch's n-grams, in the order of its request, and a sum of the keys as its sign; for deleted batches also those of deleted documents.
 
     One row of a share has its number of distinct training tokens, and their occurrences.
     """
@@ -211,28 +233,32 @@ def answered(asks: DataFrame) -> DataFrame:
         total, deleted = (np.zeros(len(distinct), np.int64) for _ in range(2))
         edges = np.cumsum([0, *map(len, keys)])
         for r, lo, hi in zip(rows, edges, edges[1:], strict=False):  # the keys of a request are distinct
-            total[at[lo:hi]] += varunpack(unsqueezed(r["train"]))
-            deleted[at[lo:hi]] += varunpack(unsqueezed(r["deleted"]))
+            train = varunpack(unsqueezed(r["train"]))
+            total[at[lo:hi]] += train
+            if r["batch"] & 1:
+                deleted[at[lo:hi]] += train
         unigram = (distinct & np.uint64(1)).astype(bool)
         whole = [int((unigram & (total > 0)).sum()), int(total[unigram].sum()), int(deleted[unigram].sum())]
         out = []
         for k, (r, lo, hi) in enumerate(zip(rows, edges, edges[1:], strict=False)):
             own = dict(zip(("unigrams", "train_tokens", "deleted_tokens"), [0, 0, 0] if k else whole, strict=True))
-            out.append({"batch": r["batch"], "part": r["part"], "counts": squeezed(varpack(total[at[lo:hi]])), "deleted": squeezed(varpack(deleted[at[lo:hi]])), "sign": signature(keys[k])} | own)
+            gone = squeezed(varpack(deleted[at[lo:hi]])) if r["batch"] & 1 else None
+            out.append({"batch": r["batch"], "part": r["part"], "counts": squeezed(varpack(total[at[lo:hi]])), "deleted": gone, "sign": signature(keys[k])} | own)
         return pa.Table.from_pylist(out, arrow)
 
     return asks.groupBy("part").applyInArrow(meet, ANSWER)
 
 
-def reassembled(text: pa.Table, answers: pa.Table, order: int) -> tuple[dict, Batch, np.ndarray, np.ndarray]:
+def reassembled(text: pa.Table, answers: pa.Table, order: int) -> tuple[dict, Batch, np.ndarray, np.ndarray | None]:
     """A batch as it was asked for, with the counts of its keys."""
     row = text.to_pylist()[0]
     batch = Batch(np.frombuffer(row["keys"], np.uint64), unplanes(row["tokens"]), np.array(row["sizes"]), order)
     parts = sorted(answers.to_pylist(), key=lambda r: r["part"])
-    counts, deleted = (np.concatenate([varunpack(unsqueezed(p[x])) for p in parts]) for x in ("counts", "deleted"))
+    whole = lambda x: np.concatenate([varunpack(unsqueezed(p[x])) for p in parts])
+    counts = whole("counts")
     if len(counts) != len(batch.keys) or signature(batch.keys) != int(np.array([p["sign"] for p in parts]).view(np.uint64).sum(dtype=np.uint64).view(np.int64)):
         raise RuntimeError("a batch has changed since its counts were asked for: write the documents to a table first")
-    return row, batch, counts, deleted
+    return row, batch, counts, whole("deleted") if row["batch"] & 1 else None
 
 
 def ratios(batch: Batch, counts: np.ndarray, tokens: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,47 +275,54 @@ def ratios(batch: Batch, counts: np.ndarray, tokens: np.ndarray, total: int, dis
     return out, bucket
 
 
-def cells(batch: Batch, counts: np.ndarray, docs: np.ndarray, total: int, distinct: int) -> Iterator[tuple]:
-    """The held-out tokens of documents as (bucket, cell, tokens, summed ratio of each order); a cell is the rounded logarithm of every ratio."""
-    tokens = np.flatnonzero(docs[batch.doc])
-    if not len(tokens):
-        return
-    ratio, bucket = ratios(batch, counts, tokens, total, distinct)
+def cells(batch: Batch, counts: np.ndarray, total: int, distinct: int) -> pa.Table:
+    """The tokens of a batch as (bucket, cell, n: tokens, s0, s1, ..: summed ratio of each order); a cell is the rounded logarithm of every ratio."""
+    ratio, bucket = ratios(batch, counts, np.arange(len(batch.doc)), total, distinct)
     with np.errstate(divide="ignore"):
         place = np.where(ratio > 0, np.clip(np.round(np.log(ratio) * FINE), -WIDEST, WIDEST) + WIDEST + 1, 0).astype(np.int64)
     code = bucket.copy()
     for k in range(place.shape[1]):
         code = code * (2 * WIDEST + 2) + place[:, k]
     distinct_cells, first, at = np.unique(code, return_index=True, return_inverse=True)
-    n = np.bincount(at)
-    sums = [np.bincount(at, ratio[:, k]) for k in range(ratio.shape[1])]
-    for i in range(len(distinct_cells)):
-        yield int(bucket[first[i]]), int(distinct_cells[i]), int(n[i]), [float(s[i]) for s in sums]
+    sums = {f"s{k}": np.bincount(at, ratio[:, k]) for k in range(ratio.shape[1])}
+    return pa.table({"bucket": bucket[first].astype(np.int32), "cell": distinct_cells, "n": np.bincount(at).astype(np.int64)} | sums)
+
+
+def mixed(n: np.ndarray, sums: np.ndarray, top: int, rounds: int = 500) -> np.ndarray:
+    """Weights of the uniform estimate and the first ``top`` orders by expectation-maximisation on cells (n tokens, summed ratios)."""
+    ratio = np.column_stack([np.ones(len(n)), sums[:, :top] / n[:, None]])
+    w = np.full(top + 1, 1 / (top + 1))
+    for _ in range(rounds):
+        new = w * (ratio * (n / (ratio @ w))[:, None]).sum(0) / n.sum()
+        done, w = np.abs(new - w).max() < 1e-9, new
+        if done:
+            break
+    return w
+
 
+def learned(found: DataFrame, order: int) -> DataFrame:
+    """(bucket, weights) of cells (bucket, cell, n, s0, ..): a task holds a bucket's cells, of which there are so many at most as they are fine."""
 
-def learn_weights(found: list[tuple[int, int, list[float]]], order: int, rounds: int = 200) -> np.ndarray:
-    """Weights (buckets x uniform and orders) by expectation-maximisation on (bucket, tokens, summed ratios).
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group["bucket"][0].as_py()
+        group = group.sort_by("cell")  # the same sums whatever the order of arrival
+        w = mixed(group["n"].to_numpy().astype(float), np.column_stack([group[f"s{k}"].to_numpy() for k in range(order)]), bucket // BUCKETS + 1)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "weights": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    return found.groupBy("bucket").applyInArrow(run, "bucket int, weights array<double>")
+
+
+def completed(found: dict[int, list[float]], order: int) -> np.ndarray:
+    """Weights (buckets x uniform and orders) of all buckets from those that have any.
 
     A bucket without held-out tokens takes those of the next one below; orders whose context is unseen get none.
     The uniform estimate keeps a trace, so nothing has probability 0.
     """
-    size = order * BUCKETS
-    weights = np.zeros((size, order + 1))
-    for b in range(size):
+    weights = np.zeros((order * BUCKETS, order + 1))
+    for b in range(len(weights)):
         top = b // BUCKETS + 1
-        rows = [(n, s) for bucket, n, s in found if bucket == b]
-        if rows:
-            n = np.array([r[0] for r in rows], float)
-            ratio = np.column_stack([np.ones(len(n)), np.array([r[1] for r in rows])[:, :top] / n[:, None]])
-            w = np.full(top + 1, 1 / (top + 1))
-            for _ in range(rounds):
-                share = ratio * w
-                share /= share.sum(1, keepdims=True)
-                new = (share * n[:, None]).sum(0) / n.sum()
-                done, w = np.abs(new - w).max() < 1e-9, new
-                if done:
-                    break
-            weights[b, : top + 1] = w
+        if b in found:
+            weights[b, : top + 1] = found[b]
         elif b % BUCKETS and weights[b - 1].any():
             weights[b] = weights[b - 1]
         else:
@@ -299,32 +332,37 @@ def learn_weights(found: list[tuple[int, int, list[float]]], order: int, rounds:
     return weights
 
 
-def deleted_interpolation(docs: DataFrame, order: int = ORDER, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deleted_interpolation(docs: DataFrame, order: int = ORDER, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text", share_bytes: int = SHARE_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Words are cut at ASCII white space after lower-casing A-Z; every document ends with an end token, so null
     and empty texts have one token. Documents whose crc32(id) mod 10 is 0 are held out; those with 1 are the
     deleted part of training. A null id hashes as an empty text. Repeated rows count and are scored each. Scores
     are log10 probabilities: base by unigram counts with 0.1 added, score by the mixture. Without training
-    documents every token has the uniform probability.
+    documents every token has the uniform probability. An empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = type_of(docs, "doc_id")
-    made = lambda asks: encoded(docs, order, shuffle_partitions(spark), batch_tokens, asks)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // share_bytes))
+    made = lambda asks, deleted_only=False: encoded(docs, order, parts, batch_tokens, asks, deleted_only)
     answers = written(answered(made(True)), "answers")
     total, deleted, distinct = answers.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("train_tokens", "deleted_tokens", "unigrams"))).first()
-    pairs = lambda function, out: made(False).groupBy("batch").cogroup(answers.select("batch", "part", "counts", "deleted", "sign").groupBy("batch")).applyInArrow(function, out)
+
+    def pairs(function: Callable, out: str | T.StructType, deleted_only: bool) -> DataFrame:
+        own = answers.select("batch", "part", "counts", "deleted", "sign")
+        own = own.where(F.col("deleted").isNotNull()) if deleted_only else own
+        return made(False, deleted_only).groupBy("batch").cogroup(own.groupBy("batch")).applyInArrow(function, out)
 
     def held(text: pa.Table, own: pa.Table) -> pa.Table:
-        row, batch, counts, gone = reassembled(text, own, order)
-        found = cells(batch, counts - gone, np.array(row["folds"]) == DELETED, total - deleted, distinct)
-        return pa.Table.from_pylist([{"bucket": b, "cell": c, "n": n, "sums": s} for b, c, n, s in found], pa.schema([("bucket", pa.int32()), ("cell", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))]))
+        _, batch, counts, gone = reassembled(text, own, order)
+        return cells(batch, counts - gone, total - deleted, distinct)
 
-    # Cells are bounded by their fineness: the driver gets some ten thousand rows, whatever the corpus.
-    sums = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(order)]
-    found = pairs(held, "bucket int, cell long, n long, sums array<double>").groupBy("bucket", "cell").agg(F.sum("n").alias("n"), *sums).collect()
-    weights = learn_weights([(r["bucket"], r["n"], [r[f"s{k}"] for k in range(order)]) for r in sorted(found)], order)
+    names = [f"s{k}" for k in range(order)]
+    found = pairs(held, ", ".join(["bucket int, cell long, n long", *(f"{x} double" for x in names)]), True)
+    found = found.groupBy("bucket", "cell").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names))
+    weights = completed({r["bucket"]: r["weights"] for r in learned(found, order).collect()}, order)  # a row a bucket
 
     def score(text: pa.Table, own: pa.Table) -> pa.Table:
         row, batch, counts, _ = reassembled(text, own, order)
@@ -340,11 +378,11 @@ def deleted_interpolation(docs: DataFrame, order: int = ORDER, batch_tokens: int
             total_score += np.bincount(doc, np.log10(p / (distinct + 1)), n_docs)
         fold = np.array(row["folds"])
         trim()
-        return pa.table([pa.array(row["ids"], id_type), pa.array(fold == HELD_OUT), pa.array(row["sizes"], pa.int64()), pa.array(known), pa.array(np.full(n_docs, total)), pa.array(base), pa.array(total_score)], names=list(names))
+        return pa.table([pa.array(row["ids"], id_type), pa.array(fold == HELD_OUT), pa.array(row["sizes"], pa.int64()), pa.array(known), pa.array(np.full(n_docs, total)), pa.array(base), pa.array(total_score)], names=list(columns))
 
     id_type = to_arrow_type(kind)
-    names = {"doc_id": kind, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
-    return pairs(score, T.StructType([T.StructField(k, v) for k, v in names.items()]))
+    columns = {"doc_id": kind, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
+    return pairs(score, T.StructType([T.StructField(k, v) for k, v in columns.items()]), False)
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
