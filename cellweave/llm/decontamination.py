@@ -1,9 +1,10 @@
 """Benchmark decontamination: test n-grams in a hash set, looked up from every window of the training text.
 
-The windows of the benchmark are hashed into a sorted set that is broadcast, in blocks of bounded size; the
+The windows of the benchmark are hashed into a sorted list that is broadcast, in blocks of bounded size; the
 documents' words are numbered by the block's vocabulary, window hashes are made by vector operations, looked
 up, and hits are verified word by word. A benchmark of more than one block is scanned for block by block and
-the hits of a document are merged.
+the hits of a document are merged. A block is arrays but for its vocabulary: some 30 bytes a word, and 120 more for
+each different word.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from cellweave.llm.common import table, type_of, written
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 WIDTH = 10
-#: Words of benchmark in a block: some 100 bytes each on every worker.
+#: Words of benchmark in a block: 150 MB on every worker if all are different.
 BLOCK_WORDS = 1_000_000
 TABLE_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,41 +44,70 @@ def rolled(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of items: vocabulary, and for each width the sorted hashes and the windows themselves."""
+    """The windows of a block of items: vocabulary, all words as numbers, and for each width the hashes of the different windows, sorted, with their places and items."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], width: int):
         self.vocab: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set]] = {}
-        for item, words in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
-            size = min(width, len(ids))
-            for k in range(len(ids) - size + 1 if ids else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[k : k + size]), set()).add(item)
+        vocab = self.vocab
+        self.words = np.fromiter((vocab.setdefault(w, len(vocab) + 1) for _, words in items for w in words), np.uint32, sum(len(words) for _, words in items))
+        self.names = [item for item, _ in items]
+        sizes = np.array([len(words) for _, words in items])
+        ends = np.cumsum(sizes)
         self.by_width = {}
-        for size, windows in found.items():
-            hashes: dict[int, list] = {}
-            for h, w in zip(np.concatenate([rolled(np.array(w, np.uint64), size) for w in windows]).tolist(), windows, strict=True):
-                hashes.setdefault(h, []).append((w, windows[w]))
-            maybe = np.zeros(1 << TABLE_BITS, bool)
-            maybe[np.array(list(hashes), np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
-            self.by_width[size] = (maybe, hashes)
+        for size in np.unique(np.minimum(sizes, width)).tolist() if len(items) else []:
+            own = np.flatnonzero(np.minimum(sizes, width) == size)
+            n = sizes[own] - size + 1
+            item = np.repeat(own, n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (ends - sizes)[item]
+            self.by_width[size] = self.sorted_windows(at.astype(np.int64), item.astype(np.int32), size)
+
+    def sorted_windows(self, at: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """Table of the first bits of hashes; hashes and places of the different windows, ascending; the items of each, from an edge to the next one."""
+        hashes = rolled(self.words.astype(np.uint64), size)[at]
+        order = np.lexsort((item, hashes))
+        hashes, at, item = hashes[order], at[order], item[order]
+        # Windows of one hash are put by their words, so that equal ones lie side by side; different ones are very rare.
+        same = np.append(False, hashes[1:] == hashes[:-1])
+        new = ~same
+        for k in range(size):
+            word = self.words[at + k]
+            new |= np.append(True, word[1:] != word[:-1])
+        if (new & same).any():
+            order = np.lexsort((item, *(self.words[at + k] for k in reversed(range(size))), hashes))
+            hashes, at, item = hashes[order], at[order], item[order]
+            new = np.append(True, hashes[1:] != hashes[:-1])
+            for k in range(size):
+                word = self.words[at + k]
+                new |= np.append(True, word[1:] != word[:-1])
+        once = new | np.append(True, item[1:] != item[:-1])  # a window that an item has twice
+        first = np.flatnonzero(new)
+        edges = np.append(np.cumsum(once)[first] - 1, once.sum())
+        maybe = np.zeros(1 << TABLE_BITS, bool)
+        maybe[hashes >> np.uint64(64 - TABLE_BITS)] = True
+        return maybe, hashes[first], at[first], edges, item[once]
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Positions of words hit, and the items that hit."""
         get = self.vocab.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
+        ids = np.array([get(w, 0) for w in words], np.uint32)
         hit, items = np.zeros(len(ids) + 1, np.int32), set()
-        for size, (maybe, hashes) in self.by_width.items():
+        for size, (maybe, hashes, places, edges, own) in self.by_width.items():
             if len(ids) < size:
                 continue
-            h = rolled(ids, size)
-            for at in np.flatnonzero(maybe[h >> np.uint64(64 - TABLE_BITS)]).tolist():
-                for window, own in hashes.get(int(h[at]), ()):
-                    if tuple(ids[at : at + size].tolist()) == window:
-                        hit[at] += 1
-                        hit[at + size] -= 1
-                        items |= own
-        return np.flatnonzero(np.cumsum(hit[:-1]) > 0), items
+            h = rolled(ids.astype(np.uint64), size)
+            at = np.flatnonzero(maybe[h >> np.uint64(64 - TABLE_BITS)])
+            lo, hi = (np.searchsorted(hashes, h[at], side) for side in ("left", "right"))
+            while (more := lo < hi).any():  # once, but for different windows of one hash
+                at, lo, hi = at[more], lo[more], hi[more]
+                same = np.ones(len(at), bool)
+                for k in range(size):
+                    same &= ids[at + k] == self.words[places[lo] + k]
+                np.add.at(hit, at[same], 1)
+                np.add.at(hit, at[same] + size, -1)
+                for w in np.unique(lo[same]).tolist():
+                    items.update(own[edges[w] : edges[w + 1]].tolist())
+                lo = lo + 1
+        return np.flatnonzero(np.cumsum(hit[:-1]) > 0), {self.names[x] for x in items}
 
 
 def blocks_of(benchmark: DataFrame, block_words: int, id_col: str, text_col: str) -> Iterator[list[tuple[object, list[bytes]]]]:
@@ -119,12 +149,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bl
 
     A window is ``width`` consecutive words of an item (a shorter item is one window); hits are the positions
     of the document's words inside any occurrence. Null and wordless texts have no words and no hits; wordless
-    items have no windows; an empty benchmark hits nothing. Repeated rows give repeated rows.
+    items have no windows; an empty benchmark hits nothing. Repeated rows give repeated rows; other columns are not
+    looked at.
     """
     blocks = blocks_of(benchmark, block_words, item_col, item_text)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return scanned(docs.withColumn("__row", F.lit(0).cast("long")), first, width, id_col, text_col).drop("__row")
+        return scanned(docs.select(id_col, text_col).withColumn("__row", F.lit(0).cast("long")), first, width, id_col, text_col).drop("__row")
     docs = written(docs.select(id_col, text_col).withColumn("__row", F.monotonically_increasing_id()), "scanned")
     parts = scanned(docs, first, width, id_col, text_col)
     merged = [written(parts.where("size(items) > 0"), "hits")]
@@ -154,37 +185,52 @@ def cut_spans(text: str, hits: set[int]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width: int = WIDTH, text_col: str = "text", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width: int = WIDTH, text_col: str = "text", item_text: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, all columns kept, without what the benchmark has.
 
     mode "documents" drops every document with a hit; "spans" cuts the hit words out of the text and keeps
-    the document. Cutting is repeated until no window is left, as what moves together may hit anew. The
-    benchmark is held in one block here, so it is refused beyond ``BLOCK_WORDS``. Null texts stay.
+    the document. Cutting is repeated until no window is left, as what moves together may hit anew; where the
+    benchmark has several blocks, all are looked for again until none hits. Null and wordless texts stay, repeated
+    rows have one fate, an empty benchmark changes nothing, and other columns may have any names.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode}")
-    spark, schema, names = docs.sparkSession, docs.schema, docs.columns
-    out, at = docs, names.index(text_col)
-    for block in blocks_of(benchmark, BLOCK_WORDS, benchmark.columns[0], item_text):
-        shared = spark.sparkContext.broadcast(Windows(block, width))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, keep = batch.column(at).to_pylist(), []
-                for k, text in enumerate(texts):
+    out, blocks, before = docs, 0, None
+    while True:
+        for block in blocks_of(benchmark, block_words, item_col, item_text):
+            out = without(out, Windows(block, width), mode, text_col)
+            blocks += 1
+        if mode == "documents" or blocks < 2:
+            return out
+        # A later block's cut may have made a window of an earlier one: until a pass over all blocks cuts nothing.
+        out = written(out, "cut")
+        texts = out.agg(F.sum(F.xxhash64(text_col).cast("decimal(38,0)"))).first()[0]
+        if texts == before:
+            return out
+        before = texts
+
+
+def without(docs: DataFrame, windows: Windows, mode: str, text_col: str) -> DataFrame:
+    """docs without what one block of the benchmark has."""
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            for k, text in enumerate(texts):
+                hits, _ = shared.value.scan(words_of(text))
+                keep.append(mode == "spans" or not len(hits))
+                while mode == "spans" and len(hits):
+                    text = cut_spans(text, set(hits.tolist()))
                     hits, _ = shared.value.scan(words_of(text))
-                    keep.append(mode == "spans" or not len(hits))
-                    while mode == "spans" and len(hits):
-                        text = cut_spans(text, set(hits.tolist()))
-                        hits, _ = shared.value.scan(words_of(text))
-                    texts[k] = text
-                if mode == "documents":
-                    yield batch.filter(pa.array(keep, pa.bool_()))
-                else:
-                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-        out = out.mapInArrow(run, schema)
-    return out
+                texts[k] = text
+            if mode == "documents":
+                yield batch.filter(pa.array(keep, pa.bool_()))
+            else:
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

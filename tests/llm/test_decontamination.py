@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from texts import documents, empty, prose, rows
 
@@ -71,6 +72,42 @@ def test_removal_keeps_every_column_and_clean_documents(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[9] == "two words"
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that is the same for all, every lookup is decided by the words."""
+    monkeypatch.setattr(op, "rolled", lambda ids, width: np.zeros(len(ids) - width + 1, np.uint64))
+    items = [(i, words(t)) for i, t in ITEMS if i is not None]
+    found = op.Windows([(i, [w.encode() for w in ws]) for i, ws in items if ws], 10)
+    for i, text in docs():
+        if i == 10:
+            continue
+        hits, own = found.scan(op.words_of(text))
+        want = next(x for x in brute([(i, text)], [x for x in ITEMS if x[0] is not None]))
+        assert (len(hits), len(own)) == want[2:4]
+
+
+def test_spans_of_several_blocks_are_cut_until_none_hits(spark):
+    """The second block's cut puts together a window of the first."""
+    first, second = " ".join("abcdefghij"), " ".join(f"z{k}" for k in range(10))
+    text = f"start a b c d e {second} f g h i j end"
+    df = spark.createDataFrame([(1, text), (2, "clean words"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string").repartition(1)
+    cut = {r["doc_id"]: r["text"] for r in op.decontaminate(df, bench, mode="spans", block_words=1).collect()}
+    assert cut[1].split() == ["start", "end"] and cut[2] == "clean words" and cut[3] is None
+    left = {r["doc_id"] for r in op.decontaminate(df, bench, block_words=1).collect()}
+    assert left == {2, 3}
+
+
+def test_a_block_is_small():
+    """Some 30 bytes a word and a vocabulary."""
+    import pickle
+
+    rng = np.random.default_rng(1)
+    items = [(k, [b"w%d" % x for x in rng.integers(0, 3000, 200)]) for k in range(500)]
+    own = op.Windows(items, 10)
+    arrays = sum(x.nbytes for x in own.by_width[10][1:]) + own.words.nbytes
+    assert arrays < 35 * 100_000 and len(pickle.dumps(own)) < 60 * 100_000 + (1 << op.TABLE_BITS)
+
+
 def test_spans_are_cut_out_until_nothing_is_left():
     window = " ".join("abcdefghij")
     text = f"Keep THIS. {window} and this"
