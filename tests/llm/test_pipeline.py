@@ -24,7 +24,7 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, d).select("doc_id").distinct().collect()}
     labels, bench = spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
-    scores = {r["doc_id"]: r["keep"] for r in quality.scored(docs, quality.train(docs, labels)).collect()}
+    scores = {r["doc_id"]: r["keep"] for r in quality.scored(docs, labels).collect()}
     kept = written(docs.where(docs["doc_id"].isin([i for i, k in scores.items() if k])), "kept")
     low = {r["doc_id"] for r in simhash.near_duplicates(kept).collect() if r["doc_id"] == r["component_id"]}
     hit = {r["doc_id"] for r in decontamination.benchmark_hits(docs, bench).collect() if len(r["hits"])}
