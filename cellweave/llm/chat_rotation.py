@@ -36,7 +36,10 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = ("system",), conv_col: st
     rows = written(parts.withColumn("part", F.spark_partition_id()), "turns")
     is_system = F.col("name").isin(*system) if system else F.lit(False)
     speakers = rows.where(~is_system).select(F.col("conv_id").alias("c"), F.col("name").alias("speaker")).distinct()
-    each = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    # Turns meet the speakers within their part, so that a long dialogue is not put into one task.
+    places = rows.select(F.col("conv_id").alias("d"), F.col("part").alias("at")).distinct()
+    speakers = speakers.join(places, F.col("c").eqNullSafe(F.col("d"))).drop("d")
+    each = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("at"))).drop("c", "at")
     own = ~is_system & (F.col("name") == F.col("speaker"))
     author = F.when(is_system, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     named = F.concat(F.lit("<|user name="), F.translate("name", "<|>\n\r", "_____"), F.lit("|>\n"))
