@@ -33,9 +33,9 @@ from cellweave.llm.common import ascii_words, shuffle_partitions, table, trim, t
 
 ORDER = 3
 #: Tokens of a batch: what a task holds at a time.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 600_000
 #: Bytes of text whose requests are a share of the hash space: what a task that answers holds at a time.
-SHARE_BYTES = 16 << 20
+SHARE_BYTES = 4 << 20
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 #: Cells a unit of the logarithm of a ratio of probabilities (tokens of a cell go by their mean ratios); bounds of the exponent; buckets of an order.
 FINE, WIDEST, BUCKETS = 16, 480, 24
@@ -105,16 +105,17 @@ def share_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences of as few bytes as the largest needs."""
-    d = np.diff(keys, prepend=np.uint64(0))
+    """The first of ascending keys, and the differences of the others in as few bytes as the largest needs."""
+    d = np.diff(keys)
     width = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
-    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    width, raw = data[0], np.frombuffer(data, np.uint8, offset=1)
-    full = np.zeros((len(raw) // width, 8), np.uint8)
-    full[:, :width] = raw.reshape(-1, width)
+    width, raw = data[0], np.frombuffer(data, np.uint8, offset=9)
+    full = np.zeros((1 + len(raw) // width, 8), np.uint8)
+    full[0] = np.frombuffer(data, np.uint8, 8, 1)
+    full[1:, :width] = raw.reshape(-1, width)
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -219,7 +220,7 @@ def signature(keys: np.ndarray) -> int:
     return int(keys.sum(dtype=np.uint64).view(np.int64))
 
 
-def answered(asks: DataFrame) -> DataFrame:
+def answered(asks: DataFrame, parts: int) -> DataFrame:
     """The corpus counts of every batch's n-grams, in the order of its request, and a sum of the keys as its sign; for deleted batches also those of deleted documents.
 
     One row of a share has its number of distinct training tokens, and their occurrences.
@@ -246,7 +247,7 @@ def answered(asks: DataFrame) -> DataFrame:
             out.append({"batch": r["batch"], "part": r["part"], "counts": squeezed(varpack(total[at[lo:hi]])), "deleted": gone, "sign": signature(keys[k])} | own)
         return pa.Table.from_pylist(out, arrow)
 
-    return asks.groupBy("part").applyInArrow(meet, ANSWER)
+    return asks.repartition(parts, "part").groupBy("part").applyInArrow(meet, ANSWER)
 
 
 def reassembled(text: pa.Table, answers: pa.Table, order: int) -> tuple[dict, Batch, np.ndarray, np.ndarray | None]:
@@ -347,7 +348,7 @@ def deleted_interpolation(docs: DataFrame, order: int = ORDER, batch_tokens: int
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size // share_bytes))
     made = lambda asks, deleted_only=False: encoded(docs, order, parts, batch_tokens, asks, deleted_only)
-    answers = written(answered(made(True)), "answers")
+    answers = written(answered(made(True), parts), "answers")
     total, deleted, distinct = answers.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("train_tokens", "deleted_tokens", "unigrams"))).first()
 
     def pairs(function: Callable, out: str | T.StructType, deleted_only: bool) -> DataFrame:

@@ -107,6 +107,13 @@ def test_against_brute_force(spark, order, batch):
         assert r["score"] == pytest.approx(score, rel=1e-3)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_sorted_keys_come_back(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 2**56, n, np.uint64))
+    packed = op.pack_sorted(keys) if n else b""
+    assert n == 0 or (np.array_equal(op.unpack_sorted(packed), keys) and len(packed) <= 9 + 7 * n)
+
+
 def test_a_mixture_is_learnt_as_by_plain_steps_where_cells_are_single_ratios():
     n, ratio = np.array([3.0, 5.0, 2.0]), np.array([[2.0, 9.0], [0.5, 0.0], [3.0, 1.0]])
     w = np.full(3, 1 / 3)
