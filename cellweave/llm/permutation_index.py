@@ -7,9 +7,10 @@ the exact inner product what is near enough by it. How many files that are and h
 on a sample of queries, whose true neighbours one pass finds, so that a given share of these would be met.
 
 Files are put together into buckets of about as many postings, which are the unit of work; a file of more is cut.
-A candidate that several of a query's files have counts in the first of them only. A query that finds too few is
-compared with all vectors, in blocks. Equal vectors are one posting with their smallest ids, as no query needs
-more than k + 1 of these.
+A candidate that several of a query's files have counts in the first of them only. What a query finds in its first
+few files bounds what the others must give to be among its nearest, so a bucket passes on little. A query that finds too
+few is compared with all vectors, in blocks. Equal vectors are one posting with their smallest ids, as no query
+needs more than k + 1 of these.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ K = 20
 DENSITY, PIVOT_BYTES = 8.0, 64 << 20
 #: Files that a vector is posted in; pivots of the order that it is known by.
 POSTED, ORDER = 4, 96
+#: Files, of vectors by their nearest pivot, whose finds bound those of all.
+FIRST = 8
 #: Queries whose true neighbours are found; share of these that the files and the footrule distance must each meet.
 SAMPLED, MET = 128, 0.97
 #: Postings of a bucket, queries of a block, pairs that are ranked at once, finds that are held at once.
@@ -220,7 +223,7 @@ class Bucket:
 
 
 def emitted(posted: pa.Table, asking: pa.Table, finds: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> pa.Table:
-    """(query, vec_id, score): the k + 1 best finds of every query, ties by the smallest id of a vector, with all the ids that it has."""
+    """(query, vec_id, score): the k + 1 best finds of every query that are not below its bound, ties by the smallest id of a vector, with all the ids that it has."""
     kind = posted.schema.field("rep").type
     _, smaller = np.unique(np.array(posted["rep"].to_pylist()), return_inverse=True)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -230,8 +233,10 @@ def emitted(posted: pa.Table, asking: pa.Table, finds: Iterator[tuple[np.ndarray
         keep = best_so_far(q, smaller[x], s, k + 1)
         return [(q[keep], x[keep], s[keep])]
 
+    bound = asking["bound"].to_numpy() if "bound" in asking.column_names else None
     for part in finds:
-        parts.append(part)
+        keep = part[2] >= bound[part[0]] if bound is not None else slice(None)
+        parts.append(tuple(c[keep] for c in part))
         if sum(len(p[0]) for p in parts) > HELD:
             parts = best()
     q, x, s = best()[0] if parts else (np.array([], int), np.array([], int), np.array([]))
@@ -258,7 +263,7 @@ def buckets_of(sizes: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def searched(codes: DataFrame, asks: DataFrame, pivots: Pivots, k: int, posted: int, length: int, probed: int, least: int) -> DataFrame:
-    """(query, vec_id, score): the k + 1 nearest postings of every query in every bucket that has a file of it."""
+    """(query, vec_id, score): the k + 1 nearest postings of every query, not below its bound, in every bucket that has a file of it."""
     spark, kind, size, code = codes.sparkSession, type_of(codes, "rep"), pivots.base.shape[1], pivots.kind
     n_pivots = len(pivots.base)
 
@@ -284,16 +289,16 @@ def searched(codes: DataFrame, asks: DataFrame, pivots: Pivots, k: int, posted:
                 else:
                     row, pivot = np.repeat(np.arange(len(own)), own.shape[1]), own.ravel().astype(np.int32)
                     bucket = home[pivot]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(cuts[bucket].astype(np.int32)), pa.array(pivot), *(batch.column(x).take(pa.array(row)) for x in ("rep", "ids", "v", "order"))], ["bucket", "cuts", "pivot", "rep", "ids", "v", "order"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(cuts[bucket].astype(np.int32)), pa.array(pivot), *(c.take(pa.array(row)) for c in batch.columns)], ["bucket", "cuts", "pivot", *batch.schema.names])
 
         return run
 
-    schema = T.StructType([*(T.StructField(x, T.IntegerType()) for x in ("bucket", "cuts", "pivot")), *(codes.schema[x] for x in ("rep", "ids", "v", "order"))])
+    schema = lambda df: T.StructType([*(T.StructField(x, T.IntegerType()) for x in ("bucket", "cuts", "pivot")), *df.schema.fields])
     blocks = max(1, ceil(asks.count() / QUERY_BLOCK))
     mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = codes.mapInArrow(spread(posted, False), schema).select("*", mine(F.col("cuts")).alias("cut"), every(F.lit(blocks)).alias("block"))
-    right = asks.mapInArrow(spread(probed, True), schema).select("*", mine(F.lit(blocks)).alias("block"), every(F.col("cuts")).alias("cut"))
+    left = codes.mapInArrow(spread(posted, False), schema(codes)).select("*", mine(F.col("cuts")).alias("cut"), every(F.lit(blocks)).alias("block"))
+    right = asks.mapInArrow(spread(probed, True), schema(asks)).select("*", mine(F.lit(blocks)).alias("block"), every(F.col("cuts")).alias("cut"))
 
     def rank(have: pa.Table, want: pa.Table) -> pa.Table:
         if not (have.num_rows and want.num_rows):
@@ -355,6 +360,9 @@ def nearest(vectors: DataFrame, divisor: int = 20, k: int = K, id_col: str = "ve
     first, gain = np.array(measured).T
     probed, least = int(np.quantile(first, met, method="higher")) + 1, int(np.quantile(gain, 1 - met, method="lower"))
     asks = written(coded(wanted, pivots, max(order, probed), True), "asks")
+    begun = best_of(searched(codes, asks, pivots, k, 1, order, min(FIRST, most), 0), k).where(F.size("best") > k)
+    bounds = begun.select(F.col("query").alias("rep"), (-F.element_at("best", -1)["less"]).alias("bound"))
+    asks = written(asks.join(bounds, "rep", "left").select(*asks.columns, F.coalesce("bound", F.lit(float("-inf"))).alias("bound")), "bounded")
     found = searched(codes, asks, pivots, k, posted, order, probed, least)
     lists = written(best_of(found, k), "found")
     # The exact way for the rest: those with too few finds are compared with everything.
