@@ -325,8 +325,12 @@ def cotrain(data: list[tuple[int, bool, bytes, bytes]], text: View, meta: View,
     held = out if 0 < y[out].sum() < out.sum() else ~out
     given: dict[str, list[tuple[bytes, int]]] = {v: [] for v in views}
     taken: dict[str, set] = {v: set() for v in views}
+    fitted = dict.fromkeys(views, -1)
     for turn in range(rounds + 1):
         for v, view in views.items():
+            if fitted[v] == len(given[v]):  # nothing new to learn from
+                continue
+            fitted[v] = len(given[v])
             column = [r[at[v]] for r in data]
             rows, cols = places([x for x, o in zip(column, out, strict=True) if not o] + [x for x, _ in given[v]], view.kind)
             view.weights = fit_logistic(rows, cols, len(view.weights) - 1, np.append(y[~out], [k for _, k in given[v]]).astype(float))
