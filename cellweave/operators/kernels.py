@@ -6,7 +6,7 @@ from math import cos, exp, pi, sin
 
 import numpy as np
 
-from cellweave.operators.tiles import Kernel
+from cellweave.operators.tiles import Cells, Kernel, one_by_one
 from cellweave.spec import FeatureSpec
 
 #: Structuring elements of the morphological profile; samples and radii of the local binary patterns.
@@ -43,13 +43,18 @@ def distance_weights(h: int, w: int, k: int) -> np.ndarray:
         return np.where(d > 0, np.floor(WEIGHT / np.where(d > 0, d, 1) + 0.5), 0).astype(np.int64)
 
 
-def mean_var(stack: np.ndarray, spec: FeatureSpec, k: int) -> np.ndarray:
+def mean_var(cells: Cells, spec: FeatureSpec) -> np.ndarray:
     """Distance-weighted mean and the mean square deviation from it, of whole numbers."""
-    n, h, w = stack.shape
-    x = stack.astype(np.int64)
-    m = (x * distance_weights(h, w, k)).sum((1, 2)) / WEIGHT / (h * w)
-    s1, s2 = x.sum((1, 2)).astype(float), (x * x).sum((1, 2)).astype(float)
-    return np.stack([m, s2 / (h * w) - 2.0 * m * (s1 / (h * w)) + m * m], -1)
+    x, n = cells.layer.astype(np.int64), cells.h * cells.w
+    weights = distance_weights(cells.h, cells.w, cells.k)
+    weighted = np.zeros(cells.count, np.int64)
+    for lines, part in cells.chunks(256):
+        for r in range(cells.h):
+            for c in np.flatnonzero(weights[r]).tolist():
+                weighted[lines] += weights[r, c] * part.at(r, c, x)
+    m = weighted / WEIGHT / n
+    s1, s2 = cells.sums(x).astype(float), cells.sums(x * x).astype(float)
+    return np.stack([m, s2 / n - 2.0 * m * (s1 / n) + m * m], -1)
 
 
 def spectrum(stack: np.ndarray, spec: FeatureSpec, k: int) -> np.ndarray:
@@ -94,27 +99,34 @@ def pattern_layers(image: np.ndarray, spec: FeatureSpec) -> dict[int, np.ndarray
     return {0: np.stack([binary_patterns(image[0], p, r) for p, r in PATTERNS])}
 
 
-def counted(codes: np.ndarray, n: int) -> np.ndarray:
+def counted(cells: Cells, layer: np.ndarray, n: int) -> np.ndarray:
     """Counts of the codes 0 .. n - 1 of every window."""
-    flat = codes.reshape(len(codes), -1).astype(np.int64)
-    return np.bincount((np.arange(len(flat))[:, None] * n + flat).ravel(), minlength=len(flat) * n).reshape(len(flat), n)
+    return np.stack([cells.sums((layer == x).astype(np.int64)) for x in range(n)], -1)
 
 
-def pattern_histogram(stack: np.ndarray, spec: FeatureSpec, k: int) -> np.ndarray:
+def pattern_histogram(cells: Cells, spec: FeatureSpec) -> np.ndarray:
     """The 10 + 18 + 34 counts of the three layers."""
-    return np.concatenate([counted(stack[:, x], p + 2) for x, (p, _) in enumerate(PATTERNS)], 1).astype(float)
+    return np.concatenate([counted(cells, cells.layer[x], p + 2) for x, (p, _) in enumerate(PATTERNS)], -1).astype(float)
 
 
-def pattern_moments(stack: np.ndarray, spec: FeatureSpec, k: int) -> np.ndarray:
+def pattern_moments(cells: Cells, spec: FeatureSpec) -> np.ndarray:
     """Moments of the counts of the codes up to the largest that a layer has in the window (2, 3 and 4 entries at least)."""
-    out = np.zeros((len(stack), 5))
-    each = [counted(stack[:, x], p + 2) for x, (p, _) in enumerate(PATTERNS)]
-    for i in range(len(stack)):
-        parts = []
-        for x, c in enumerate(each):
-            top = int(np.flatnonzero(c[i])[-1]) + 1
-            parts.append(c[i, : max(top, x + 2)])
-        out[i] = moments(np.concatenate(parts).astype(float)[None])[0]
+    values, used = [], []
+    for x, (p, _) in enumerate(PATTERNS):
+        c = counted(cells, cells.layer[x], p + 2)
+        last = c.shape[-1] - 1 - np.argmax(c[..., ::-1] > 0, -1)  # of the codes that the window has
+        values.append(c.astype(float))
+        used.append(np.arange(p + 2) <= np.maximum(last, x + 1)[..., None])
+    values, used = np.concatenate(values, -1), np.concatenate(used, -1)
+    n = used.sum(-1)
+    mean = np.where(used, values, 0.0).sum(-1) / n
+    d = np.where(used, values - mean[..., None], 0.0)
+    var = (d * d).sum(-1) / np.maximum(n - 1, 1)
+    sd, top = var * 0.5, np.where(used, values, 0.0).max(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.stack([top, mean, var, (d**3).sum(-1) / n / sd**3, (d**4).sum(-1) / n / sd**4], -1)
+    out[~np.isfinite(out)] = 0.0
+    out[top == 0] = 0.0
     return out
 
 
@@ -184,9 +196,8 @@ def gabor_layers(image: np.ndarray, spec: FeatureSpec) -> dict[int, np.ndarray]:
             half = len(kernel) // 2
             pad = np.pad(base, half, "reflect") if min(h, w) > half else np.pad(base, half, "symmetric")
             total = np.zeros((h, w), np.int64)
-            for i in range(2 * half + 1):
-                for j in range(2 * half + 1):
-                    total += kernel[i, j] * pad[i : i + h, j : j + w]
+            for i, j in np.argwhere(kernel).tolist():  # far from the centre weights are 0
+                total += kernel[i, j] * pad[i : i + h, j : j + w]
             layers.append(np.clip(np.floor(total / GABOR_UNIT + 0.5), 0, 255).astype(np.int64))
         out[k] = np.stack(layers)
     return out
@@ -451,10 +462,10 @@ def line_support(layers: np.ndarray, spec: FeatureSpec, k: int) -> np.ndarray:
 
 
 FIVE = ("max", "mean", "var", "skew", "kurt")
-FOURIER = Kernel(("mean", "std"), one_layer, spectrum)
+FOURIER = Kernel(("mean", "std"), one_layer, one_by_one(spectrum))
 LBP_MOMENTS = Kernel(FIVE, pattern_layers, pattern_moments, lambda spec: 5, joint=True)
 LBP_HISTOGRAM = Kernel(tuple(f"p{p}_{i}" for p, _ in PATTERNS for i in range(p + 2)), pattern_layers, pattern_histogram, lambda spec: 5, joint=True)
 DMP = Kernel(("mean", "var"), profile_layer, mean_var)
 GABOR_BANK = Kernel(("mean", "var"), gabor_layers, mean_var, lambda spec: spec.largest // 2)
 MEAN = Kernel(("mean", "var"), one_layer, mean_var)
-LSR = Kernel(("length_entropy", "contrast_mean", "contrast_entropy"), line_layers, line_support, joint=True)
+LSR = Kernel(("length_entropy", "contrast_mean", "contrast_entropy"), line_layers, one_by_one(line_support), joint=True)

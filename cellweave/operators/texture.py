@@ -1,4 +1,7 @@
-"""Texture of windows in DataFrame functions: co-occurrence contrast, lacunarity, oriented gradients, line features."""
+"""Texture of windows in DataFrame functions: co-occurrence contrast, lacunarity, oriented gradients, line features.
+
+Where a pixel is in more than MOST_COPIES windows it is not copied to them: tiles give the same numbers.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.functions.moments import moments5
-from cellweave.geometry import extent, near, neighbourhood, windows
+from cellweave.geometry import MOST_COPIES, copies, extent, near, neighbourhood, windows
+from cellweave.operators import wide
+from cellweave.operators.shapes import PAIR_OFFSETS, line_places, rays  # noqa: F401
+from cellweave.operators.tiles import on_tiles
+from cellweave.operators.wide import MAGNITUDE
 from cellweave.operators.window import cell_keys, window_mean
 from cellweave.spec import FeatureSpec
 
-#: The distinct pixel offsets (rows, columns) of eight angles at distances 1 and 2.
-PAIR_OFFSETS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, 2), (1, 2), (2, 1), (2, 0), (2, -1), (1, -2)]
-#: Fixed-point magnitudes of gradients.
-MAGNITUDE = 1e6
-
 
 def pantex(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = None, keys: tuple[str, ...] = ("band",)) -> DataFrame:
     """(keys, k, bi, bj, contrast) of 5-bit pixels: the least co-occurrence contrast over the offsets.
@@ -24,6 +26,8 @@ def pantex(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None =
     no matrix is built: a pixel brings its squared differences to every window that holds both pixels of a pair.
     """
     rows, cols = size or extent(pixels)
+    if copies(spec) > MOST_COPIES:
+        return on_tiles(pixels, spec, wide.PANTEX, (rows, cols), keys).drop("layer")
     around = neighbourhood(pixels, 2, keys)
     v = F.col("v")
     squares = [(near(dr, dc, 2) - v) * (near(dr, dc, 2) - v) for dr, dc in PAIR_OFFSETS]
@@ -49,6 +53,8 @@ def lacunarity(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | Non
     the sum over boxes of m² P(m) over the squared sum of m P(m). Boxes at the window's end are clipped.
     """
     rows, cols = size or extent(pixels)
+    if copies(spec) > MOST_COPIES:
+        return on_tiles(pixels, spec, wide.LACUNARITY, (rows, cols), keys).drop("layer")
     r = spec.box
     spread = windows(pixels, spec, rows, cols)
     x, y = F.floor(F.col("lr") / r), F.floor(F.col("lc") / r)
@@ -68,6 +74,8 @@ def hog(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = Non
     window's area; then normalised, cut at 0.2 and normalised again. A window of zeros gives zeros.
     """
     rows, cols = size or extent(pixels)
+    if copies(spec) > MOST_COPIES:
+        return on_tiles(pixels, spec, wide.HOG, (rows, cols), keys).drop("layer")
     around = neighbourhood(pixels, 1, keys)
     slopes = around.select(*keys, "r", "c", "v", (near(1, 0, 1) - near(-1, 0, 1)).alias("gr"), (near(0, 1, 1) - near(0, -1, 1)).alias("gc"))
     spread = windows(slopes, spec, rows, cols)
@@ -87,28 +95,6 @@ def hog(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = Non
     return bins.select(*cell_keys(keys), *(F.when(F.col("top") > 0, x).otherwise(F.lit(0.0)).alias(n) for n, x in moments5(F.col("a")).items()))
 
 
-def line_places(r0: int, c0: int, r1: int, c1: int) -> list[tuple[int, int]]:
-    """Pixels of a straight line with both ends, one for each step along its longer axis, by the midpoint rule."""
-    dr, dc = abs(r1 - r0), abs(c1 - c0)
-    sr, sc = (1 if r1 > r0 else -1), (1 if c1 > c0 else -1)
-    long, short = (dr, dc) if dr > dc else (dc, dr)
-    out, at, error = [], 0, 2 * short - long
-    for i in range(long):
-        out.append((r0 + sr * i, c0 + sc * at) if dr > dc else (r0 + sr * at, c0 + sc * i))
-        while error >= 0 and long:
-            at += 1
-            error -= 2 * long
-        error += 2 * short
-    return [*out, (r1, c1)]
-
-
-def rays(h: int, w: int, skip: int) -> list[list[tuple[int, int]]]:
-    """Lines from the centre to every ``skip``-th border pixel: left, right, top and bottom side."""
-    r, c = h // 2, w // 2
-    ends = [(e, 0) for e in range(0, h, skip)] + [(e, w - 1) for e in range(0, h, skip)] + [(0, e) for e in range(0, w, skip)] + [(h - 1, e) for e in range(0, w, skip)]
-    return [line_places(r, c, *end) for end in ends]
-
-
 def window_sizes(spec: FeatureSpec, rows: int, cols: int) -> list[tuple[int, int, int]]:
     """(k, h, w) of all windows: whole, or clipped at the last cells."""
     n, m = spec.out_size(rows, cols)
@@ -130,6 +116,8 @@ def sfs(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = Non
     arrays in one shuffle, and lines are read out of them.
     """
     rows, cols = size or extent(pixels)
+    if copies(spec) > MOST_COPIES:
+        return on_tiles(pixels, spec, wide.SFS, (rows, cols), keys).drop("layer")
     spark = pixels.sparkSession
     lines = [(k, h, w, [[r * w + c for r, c in ray] for ray in rays(h, w, spec.line_skip)], -(-h // spec.line_skip), -(-w // spec.line_skip)) for k, h, w in window_sizes(spec, rows, cols)]
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("w", T.LongType()), T.StructField("rays", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("ny", T.IntegerType()), T.StructField("nx", T.IntegerType())])

@@ -1,14 +1,14 @@
 """Kernels that no relational form fits, on tiles: one shuffle brings the pixels of a section, with its halo, to one task.
 
-A tile is some hundred pixels wide whatever the image, so a task's memory is bounded; all scales of a trigger are
-made of one tile in one pass. A kernel prepares layers from the tile (an image, or one for each scale) and turns
-stacks of windows of one size into statistics.
+A tile is as wide as its section and halo whatever the image; all scales of a trigger are made of one tile in one
+pass. A kernel prepares layers from the tile (an image, or one for each scale) and measures the windows of one size
+of many cells. What needs windows one by one gets them in stacks of STACK bytes, so besides its tile a task holds little.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,35 +20,88 @@ from cellweave.geometry import extent, spread_to_sections
 from cellweave.spec import FeatureSpec
 
 
+#: Bytes of a stack of windows.
+STACK = 16 << 20
+
+
+@dataclass(frozen=True)
+class Cells:
+    """The windows of scale k and size h x w of a grid of cells: the first one's place in the layer, and how many there are, ``step`` pixels apart."""
+
+    layer: np.ndarray  # its last axes are rows and columns
+    first: tuple[int, int]
+    count: tuple[int, int]
+    step: int
+    h: int
+    w: int
+    k: int
+
+    def at(self, r: int, c: int, layer: np.ndarray | None = None) -> np.ndarray:
+        """The pixel (r, c) of every window, as a view of the layer or of another image of its shape."""
+        i, j = self.first[0] + r, self.first[1] + c
+        return (self.layer if layer is None else layer)[..., i : i + (self.count[0] - 1) * self.step + 1 : self.step, j : j + (self.count[1] - 1) * self.step + 1 : self.step]
+
+    def sums(self, image: np.ndarray, r0: int = 0, r1: int | None = None, c0: int = 0, c1: int | None = None) -> np.ndarray:
+        """Sums of an image of whole numbers over rows r0 .. r1 and columns c0 .. c1 of every window, from running sums."""
+        r1, c1 = self.h if r1 is None else r1, self.w if c1 is None else c1
+        if r0 >= r1 or c0 >= c1:
+            return np.zeros(self.count, np.int64)
+        i, j = self.first
+        rows, cols = (self.count[0] - 1) * self.step + self.h, (self.count[1] - 1) * self.step + self.w
+        total = np.zeros((rows + 1, cols + 1), np.int64)
+        np.cumsum(np.cumsum(image[i : i + rows, j : j + cols], axis=0, dtype=np.int64), axis=1, out=total[1:, 1:])
+        own = Cells(total, (0, 0), self.count, self.step, self.h, self.w, self.k)
+        return own.at(r1, c1) - own.at(r0, c1) - own.at(r1, c0) + own.at(r0, c0)
+
+    def chunks(self, bytes_a_cell: int) -> Iterator[tuple[slice, Cells]]:
+        """Some lines of cells at a time: which they are, and the cells."""
+        lines = max(1, STACK // max(1, bytes_a_cell * self.count[1]))
+        for at in range(0, self.count[0], lines):
+            n = min(lines, self.count[0] - at)
+            yield slice(at, at + n), replace(self, first=(self.first[0] + at * self.step, self.first[1]), count=(n, self.count[1]))
+
+    def stacks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Windows one by one (n x .. x h x w), some lines of cells at a time."""
+        for lines, part in self.chunks(8 * self.h * self.w * int(np.prod(self.layer.shape[:-2], dtype=int))):
+            rows, cols = (part.count[0] - 1) * self.step + self.h, (part.count[1] - 1) * self.step + self.w
+            area = self.layer[..., part.first[0] : part.first[0] + rows, part.first[1] : part.first[1] + cols]
+            view = np.lib.stride_tricks.sliding_window_view(area, (self.h, self.w), axis=(-2, -1))[..., :: self.step, :: self.step, :, :]
+            yield lines, np.moveaxis(view, (-4, -3), (0, 1)).reshape(part.count[0] * part.count[1], *self.layer.shape[:-2], self.h, self.w)
+
+
+def one_by_one(measure: Callable[[np.ndarray, FeatureSpec, int], np.ndarray]) -> Callable[[Cells, FeatureSpec], np.ndarray]:
+    """A measure of stacks (n windows, spec, k) -> n x statistics as one of cells."""
+
+    def run(cells: Cells, spec: FeatureSpec) -> np.ndarray:
+        return np.concatenate([measure(stack, spec, cells.k).reshape(lines.stop - lines.start, cells.count[1], -1) for lines, stack in cells.stacks()])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Kernel:
-    """prepare: (values x rows x cols, spec) -> {scale or 0: layers x rows x cols}; measure: windows (n x h x w) of a scale -> n x statistics of a layer.
+    """prepare: (values x rows x cols, spec) -> {scale or 0: layers x rows x cols}; measure: (cells of a layer, spec) -> lines x columns of cells x statistics.
 
     margin: pixels around a section that ``prepare`` needs to be seamless; None where it is made for whole sections.
     """
 
     names: tuple[str, ...]
     prepare: Callable[[np.ndarray, FeatureSpec], dict[int, np.ndarray]]
-    measure: Callable[[np.ndarray, FeatureSpec, int], np.ndarray]
+    measure: Callable[[Cells, FeatureSpec], np.ndarray]
     margin: Callable[[FeatureSpec], int] = lambda spec: 0
-    joint: bool = False  # measure takes all layers at once: n x layers x h x w
+    joint: bool = False  # measure takes all layers at once
 
 
-def window_stacks(layer: np.ndarray, at: tuple[int, int], cells: tuple[range, range], spec: FeatureSpec, k: int, size: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bi, bj, windows) of the cells of a tile by size of window; ``at`` is the tile's place, ``size`` the image's. The layer's last axes are rows and columns."""
+def cells_by_size(layer: np.ndarray, at: tuple[int, int], cells: tuple[range, range], spec: FeatureSpec, k: int, size: tuple[int, int]) -> Iterator[tuple[list[int], list[int], Cells]]:
+    """The cells of a tile by the size that their windows of scale k have, with their numbers; ``at`` is the tile's place, ``size`` the image's."""
     groups: list[dict[int, list[int]]] = [{}, {}]
     for axis in (0, 1):
         for x in cells[axis]:
-            start = x * spec.block + spec.offset(k)
-            groups[axis].setdefault(min(k, size[axis] - start), []).append(x)
+            groups[axis].setdefault(min(k, size[axis] - x * spec.block - spec.offset(k)), []).append(x)
     for h, rows in groups[0].items():
         for w, cols in groups[1].items():
-            view = np.lib.stride_tricks.sliding_window_view(layer, (h, w), axis=(-2, -1))
-            i = np.array(rows) * spec.block + spec.offset(k) - at[0]
-            j = np.array(cols) * spec.block + spec.offset(k) - at[1]
-            took = view[..., i[:, None], j[None, :], :, :]
-            took = np.moveaxis(took, (-4, -3), (0, 1)).reshape(len(rows) * len(cols), *layer.shape[:-2], h, w)
-            yield np.repeat(rows, len(cols)), np.tile(cols, len(rows)), took
+            first = tuple(x[0] * spec.block + spec.offset(k) - a for x, a in zip((rows, cols), at, strict=True))
+            yield rows, cols, Cells(layer, first, (len(rows), len(cols)), spec.block, h, w, k)
 
 
 def on_tiles(pixels: DataFrame, spec: FeatureSpec, kernel: Kernel, size: tuple[int, int] | None = None, keys: tuple[str, ...] = ("band",), values: tuple[str, ...] = ("v",)) -> DataFrame:
@@ -74,9 +127,9 @@ def on_tiles(pixels: DataFrame, spec: FeatureSpec, kernel: Kernel, size: tuple[i
         for k in spec.scales:
             layers = made[k] if k in made else made[0]
             for number, layer in enumerate([layers] if kernel.joint else layers):
-                for bi, bj, stack in window_stacks(layer, (r0, c0), cells, spec, k, (rows, cols)):
-                    got = kernel.measure(stack, spec, k)
-                    for part, column in zip(parts, [np.full(len(bi), k, np.int32), np.full(len(bi), number, np.int32), bi, bj, *got.T], strict=True):
+                for bi, bj, some in cells_by_size(layer, (r0, c0), cells, spec, k, (rows, cols)):
+                    got = kernel.measure(some, spec).reshape(len(bi) * len(bj), -1)
+                    for part, column in zip(parts, [np.full(len(got), k, np.int32), np.full(len(got), number, np.int32), np.repeat(bi, len(bj)), np.tile(bj, len(bi)), *got.T], strict=True):
                         part.append(column)
         total = sum(map(len, parts[0]))
         columns = [pa.array([x.as_py()] * total, pa_type) for x, pa_type in zip(key[:-2], [c.type for c in key[:-2]], strict=True)]

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.moments import moments5
-from cellweave.geometry import extent, windows
+from cellweave.geometry import MOST_COPIES, copies, extent, windows
+from cellweave.operators import wide
+from cellweave.operators.tiles import on_tiles
 from cellweave.spec import FeatureSpec
 
 #: Fixed-point weights.
@@ -83,6 +85,8 @@ def _basic(sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def window_moments(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = None, keys: tuple[str, ...] = ("band",), textbook: bool = False) -> DataFrame:
     """(keys, k, bi, bj, max, mean, var, skew, kurt) of whole numbers, by power sums; all 0 where the largest value is 0."""
     rows, cols = size or extent(pixels)
+    if copies(spec) > MOST_COPIES and not textbook:
+        return on_tiles(pixels, spec, wide.POWERS, (rows, cols), keys).drop("layer")
     v = F.col("v").cast("long")
     sums = windows(pixels, spec, rows, cols).groupBy(*cell_keys(keys)).agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(_times(v, p)).cast("double").alias(f"s{p}") for p in (1, 2, 3, 4)), F.max(v).cast("double").alias("max"))
     n, m = F.col("n"), F.col("s1") / F.col("n")
@@ -122,5 +126,7 @@ def pyramid_histogram(mask: DataFrame, spec: FeatureSpec, size: tuple[int, int]
 
 def keypoint_moments(mask: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = None, keys: tuple[str, ...] = ("band",)) -> DataFrame:
     """(keys, k, bi, bj, max, mean, var, skew, kurt) of the pyramid histogram of a mask."""
+    if copies(spec) > MOST_COPIES:
+        return on_tiles(mask, spec, wide.PYRAMID, size, keys).drop("layer")
     bins = pyramid_histogram(mask, spec, size, keys)
     return bins.select(*cell_keys(keys), *(x.alias(n) for n, x in moments5(F.col("bins")).items()))

@@ -36,9 +36,12 @@ def base_image(pixels: DataFrame, spec: FeatureSpec, size: Size, top: int = 255,
 
 def window_means(image: DataFrame, spec: FeatureSpec, size: Size, digits: int = 0) -> DataFrame:
     """Weighted means: by spread pixels, or on tiles where a pixel is in too many windows for that."""
-    if copies(spec) <= MOST_COPIES or digits:
+    if copies(spec) <= MOST_COPIES:
         return window.window_mean(image, spec, size, digits=digits)
-    return on_tiles(image, spec, kernels.MEAN, size).drop("layer")
+    unit = 10.0**digits
+    fixed = image.withColumn("v", window.fixed(F.col("v"), digits))
+    made = on_tiles(fixed, spec, kernels.MEAN, size).drop("layer")
+    return made.withColumns({"mean": F.col("mean") / F.lit(unit), "var": F.col("var") / F.lit(unit * unit)}) if digits else made
 
 
 def three_bands(pixels: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, tuple[str, str, str]]:

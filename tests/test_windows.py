@@ -211,3 +211,30 @@ def test_smoothing_weighs_by_nearness_and_likeness(spark):
     for row in stencils.smoothed(to_pixels(spark, image), 5, *image.shape, sigma_colour=0.8, sigma_space=1.1).collect():
         got[row["r"], row["c"]] = row["v"]
     np.testing.assert_array_equal(got, want)
+
+WIDE = [FeatureSpec(block=2, scales=(16, 24), section_size=24), FeatureSpec(block=4, scales=(8, 34), section_size=34), FeatureSpec(block=1, scales=(9,), section_size=18, line_skip=2, box=3)]
+
+
+@pytest.mark.parametrize("spec", WIDE, ids=lambda s: f"b{s.block}k{s.scales}")
+def test_wide_windows_on_tiles_give_the_same_numbers(spark, spec, monkeypatch):
+    """Clipped windows, boxes that do not divide the window, several sections."""
+    image = raster(11, 31, (53, 46))
+    pixels = to_pixels(spark, image).cache()
+    mask = to_pixels(spark, (image > 20).astype(int)).cache()
+    made = {
+        "pantex": lambda: texture.pantex(pixels, spec), "lac": lambda: texture.lacunarity(pixels, spec), "hog": lambda: texture.hog(pixels, spec), "sfs": lambda: texture.sfs(pixels, spec),
+        "moments": lambda: window.window_moments(pixels, spec), "orb": lambda: window.keypoint_moments(mask, spec),
+    }
+    for name, make in made.items():
+        tables = []
+        for most in (0, 10**9):
+            monkeypatch.setattr(texture, "MOST_COPIES", most)
+            monkeypatch.setattr(window, "MOST_COPIES", most)
+            df = make()
+            names = [c for c in df.columns if c not in ("band", "k", "bi", "bj")]
+            assert df.dtypes[1:4] == [("k", "int"), ("bi", "bigint"), ("bj", "bigint")]
+            tables.append(table(df, names))
+        assert tables[0].keys() == tables[1].keys() and len(tables[0]) == len(spec.scales) * np.prod(spec.out_size(53, 46)), name
+        for key, x in tables[0].items():
+            loose = name == "hog" and x[2] < 1e-3 or name == "moments" and x[2] < 1e-2
+            np.testing.assert_allclose(x[: 3 if loose else None], tables[1][key][: 3 if loose else None], rtol=1e-6, atol=1e-6, err_msg=f"{name} {key}")
