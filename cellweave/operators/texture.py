@@ -128,6 +128,8 @@ def sfs(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = Non
     gathered = spread.groupBy(*cell_keys(keys), "h", "w").agg(
         F.sort_array(F.collect_list(F.struct((F.col("lr") * F.col("w") + F.col("lc")).alias("at"), "v"))).alias("x"), F.avg(F.when(central("lr", "h") & central("lc", "w"), F.col("v").cast("double"))).alias("centre")
     )
+    # A window that lacks pixels, at the edge of a part of an image, has no lines.
+    gathered = gathered.where(F.size("x") == F.col("h") * F.col("w"))
     at = gathered.select(*cell_keys(keys), "h", "w", "centre", F.transform("x", lambda x: x["v"].cast("double")).alias("v")).join(F.broadcast(geometry), ["k", "h", "w"])
     zero = F.struct(F.lit(0.0).alias("ph"), F.lit(0).alias("n"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
 

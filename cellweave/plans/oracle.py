@@ -2,13 +2,52 @@
 
 from __future__ import annotations
 
-from math import exp
-
-from cellweave.operators.kernels import gabor_bank
-from cellweave.operators.stencils import RGB_CIE, blur_weights
-from cellweave.operators.texture import PAIR_OFFSETS, rays
-from cellweave.plans.queries import CORNER, MULTI, ONE, E, L, ODD, V
-from cellweave.spec import STATISTICS, FeatureSpec
+from math import cos, exp, floor, pi, sin
+
+from cellweave.plans.queries import BANK, CORNER, LINES, MULTI, ONE, TILES, E, L, ODD, V
+from cellweave.spec import FeatureSpec
+
+# Tables that the engine has too are written out here, so that a wrong one there does not go unseen.
+#: Pixel offsets (rows, columns) of eight angles at distances 1 and 2.
+PAIR_OFFSETS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, 2), (1, 2), (2, 1), (2, 0), (2, -1), (1, -2)]
+#: Linear colour transform of (red, green, blue).
+RGB_CIE = ((0.1387, 0.6708, 0.0611), (0.0999, 0.8017, 0.0984), (0.0, 0.0660, 0.8910))
+#: Samples and radius of the layers of binary patterns.
+PATTERNS = ((8, 1), (16, 2), (32, 4))
+
+
+def blur_weights() -> list[float]:
+    """Three weights of a Gaussian of deviation 3."""
+    w = [exp(-x * x / 18) for x in (-1, 0, 1)]
+    return [x / sum(w) for x in w]
+
+
+def bank_rows(k: int) -> list[str]:
+    """(layer, dr, dc, weight in millionths) of eight kernels of deviation 3, wavelength 10, aspect 0.5 and phase 1, normalised to 2 / 3."""
+    reach, out = (k - 1 if k % 2 == 0 else k) // 2, []
+    for layer in range(8):
+        angle = pi * 4 * layer / 32
+        value = {}
+        for dr in range(-reach, reach + 1):
+            for dc in range(-reach, reach + 1):
+                x, y = -dc, -dr  # the kernel is laid out from its far corner
+                along, across = x * cos(angle) + y * sin(angle), y * cos(angle) - x * sin(angle)
+                value[dr, dc] = exp(-(along**2 + 0.25 * across**2) / 18) * cos(2 * pi * along / 10 + 1)
+        total = 1.5 * sum(value.values())
+        out += [f"({layer}, {dr}, {dc}, {floor(v / total * 1e6 + 0.5)})" for (dr, dc), v in value.items()]
+    return out
+
+
+def lines_from_centre(k: int, skip: int) -> list[list[tuple[int, int]]]:
+    """Lines to every ``skip``-th border pixel, left, right, top, bottom: for each step the exact place, halves away from the centre."""
+    m = k // 2
+    ends = [(e, 0) for e in range(0, k, skip)] + [(e, k - 1) for e in range(0, k, skip)] + [(0, e) for e in range(0, k, skip)] + [(k - 1, e) for e in range(0, k, skip)]
+    out = []
+    for r, c in ends:
+        n = max(abs(r - m), abs(c - m))
+        near = lambda d, i, n=n: int(abs(d) * i / n + 0.5) * (1 if d > 0 else -1)
+        out.append([(m + near(r - m, i), m + near(c - m, i)) for i in range(n + 1)])
+    return out
 
 RASTER_E = """e AS (
   SELECT r, CAST(c AS BIGINT) AS c, least(greatest(CAST(floor((CAST(x AS DOUBLE) + 1e0) * 127.5e0) AS BIGINT), 0), 255) AS v
@@ -31,13 +70,18 @@ def level(column: str, top: int) -> str:
     return f"CAST(floor(least(greatest(CAST({column} AS DOUBLE), 0e0), 10000e0) / 10000e0 * {top}e0) AS BIGINT)"
 
 
+def every_band(make) -> str:
+    """The rows of a query of each band of L, with the band."""
+    return "\nUNION ALL\n".join(f"SELECT {n} AS band, * FROM ({make(n)})" for n in (1, 2, 3, 4))
+
+
 def band(n: int, top: int = 255) -> str:
     return f"{RASTER_L},\npx AS (SELECT r, c, {level(f'b{n}', top)} AS v FROM l)"
 
 
-def windows(spec: FeatureSpec, source: str = "px", columns: str = "v") -> str:
-    """CTEs up to p: a row for every pixel (lr, lc) of every window (k, bi, bj) of clipped size (h, w)."""
-    scales = ", ".join(f"({k}, {spec.offset(k)})" for k in spec.scales)
+def windows(spec: FeatureSpec, source: str = "px", columns: str = "v", only: int | None = None) -> str:
+    """CTEs up to p: a row for every pixel (lr, lc) of every window (k, bi, bj), of all scales or of one, of clipped size (h, w)."""
+    scales = ", ".join(f"({k}, {spec.offset(k)})" for k in spec.scales if only in (None, k))
     b, halo = spec.block, spec.halo
     cells = lambda n: f"CAST(ceil(({n} - {halo}) / {b}e0) AS BIGINT) - 1"
     values = ", ".join(f"q.{c.strip()}" for c in columns.split(","))
@@ -211,21 +255,21 @@ u AS (SELECT *, (s2 / n - m * m) * n / nullif(n - 1e0, 0) AS var, s3 / n - 3e0 *
 SELECT k, bi, bj, mx AS max, {columns} FROM u"""
 
 
-def sfs() -> str:
-    k, b = ONE.largest, ONE.block
-    lines = rays(k, k, ONE.line_skip)
-    rows = ", ".join(f"({i}, {step}, {r}, {c})" for i, ray in enumerate(lines) for step, (r, c) in enumerate(ray))
-    side = -(-k // ONE.line_skip)
+def sfs(k: int) -> str:
+    """The lines of one scale."""
+    b, th = LINES.block, LINES.line_threshold
+    rows = ", ".join(f"({i}, {step}, {r}, {c})" for i, line in enumerate(lines_from_centre(k, LINES.line_skip)) for step, (r, c) in enumerate(line))
+    side = -(-k // LINES.line_skip)
     pairs = ", ".join(f"({a}, {z})" for e in range(side) for a, z in ((e, 3 * side + e), (side + e, 2 * side + e)))
     half = b // 2
-    return f"""WITH {RASTER_E},{windows(ONE, 'e')},
+    return f"""WITH {RASTER_E},{windows(LINES, 'e', only=k)},
 rays(ray, step, lr, lc) AS (VALUES {rows}),
 centre AS (SELECT k, bi, bj, avg(CAST(v AS DOUBLE)) AS ctr FROM p WHERE lr >= {k // 2 - half} AND lr < {k // 2 + half} AND lc >= {k // 2 - half} AND lc < {k // 2 + half} GROUP BY k, bi, bj),
 along AS (
   SELECT k, bi, bj, ray, step, lr, lc, CAST(v AS DOUBLE) AS v, coalesce(sum(abs(ctr - v)) OVER (PARTITION BY k, bi, bj, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS ph
   FROM p JOIN rays USING (lr, lc) JOIN centre USING (k, bi, bj)),
 walk AS (
-  SELECT k, bi, bj, ray, count(*) FILTER (WHERE ph < {ONE.line_threshold}) AS n, count(*) AS steps, sum(v) FILTER (WHERE ph < {ONE.line_threshold}) AS s1, sum(v * v) FILTER (WHERE ph < {ONE.line_threshold}) AS s2
+  SELECT k, bi, bj, ray, count(*) FILTER (WHERE ph < {th}) AS n, count(*) AS steps, sum(v) FILTER (WHERE ph < {th}) AS s1, sum(v * v) FILTER (WHERE ph < {th}) AS s2
   FROM along GROUP BY k, bi, bj, ray),
 line AS (
   SELECT k, bi, bj, w.ray, sqrt(CAST((y.lr - {k // 2}) * (y.lr - {k // 2}) + (y.lc - {k // 2}) * (y.lc - {k // 2}) AS DOUBLE)) AS d, (s2 - s1 * s1 / n) / n * 0.5e0 AS sd
@@ -237,23 +281,112 @@ SELECT k, bi, bj, round(max(d), 6) AS max, round(coalesce(min(d) FILTER (WHERE d
 FROM line JOIN orth USING (k, bi, bj) GROUP BY k, bi, bj"""
 
 
-def gabor() -> str:
-    """The bank of one scale over band 4 of L."""
-    spec = FeatureSpec(triggers=("gabor",), block=6, scales=(8,), section_size=96)
-    rows, half = [], 0
-    for layer, kernel in enumerate(gabor_bank(8)):
-        half = len(kernel) // 2
-        rows += [f"({layer}, {i - half}, {j - half}, {kernel[i, j]})" for i in range(2 * half + 1) for j in range(2 * half + 1)]
+DISTANCE = "sqrt((lc - k / 2e0) * (lc - k / 2e0) + (lr - k / 2e0) * (lr - k / 2e0))"
+SUMS_OF_P = f"count(*) AS n, sum(v * CASE WHEN {DISTANCE} > 0 THEN CAST(floor(1e9 / {DISTANCE} + 0.5e0) AS BIGINT) ELSE 0 END) AS sw, sum(v) AS s1, sum(v * v) AS s2"
+MEAN_OF_SUMS = "mean, CAST(s2 AS DOUBLE) / n - 2e0 * mean * (CAST(s1 AS DOUBLE) / n) + mean * mean AS var"
+
+
+def gabor(n: int, k: int) -> str:
+    """The bank of one scale over a band of L."""
     mirrored = lambda x, d: f"CASE WHEN {x} + {d} < 0 THEN -({x} + {d}) WHEN {x} + {d} >= 96 THEN 190 - ({x} + {d}) ELSE {x} + {d} END"
-    d = "sqrt((lc - k / 2e0) * (lc - k / 2e0) + (lr - k / 2e0) * (lr - k / 2e0))"
-    return f"""WITH {band(4)},
-bank(layer, dr, dc, weight) AS (VALUES {', '.join(rows)}),
-around AS (SELECT a.r, a.c, layer, weight, {mirrored('a.r', 'dr')} AS nr, {mirrored('a.c', 'dc')} AS nc FROM px a, bank),
-flat AS (SELECT a.r, a.c, layer, least(greatest(CAST(floor(CAST(sum(weight * q.v) AS DOUBLE) / 1e6 + 0.5e0) AS BIGINT), 0), 255) AS v FROM around a JOIN px q ON q.r = a.nr AND q.c = a.nc GROUP BY a.r, a.c, layer),{windows(spec, 'flat', 'layer, v')},
-s AS (
-  SELECT k, layer, bi, bj, count(*) AS n, sum(v * CASE WHEN {d} > 0 THEN CAST(floor(1e9 / {d} + 0.5e0) AS BIGINT) ELSE 0 END) AS sw, sum(v) AS s1, sum(v * v) AS s2 FROM p GROUP BY ALL),
+    return f"""WITH {band(n)},
+bank(layer, dr, dc, weight) AS (VALUES {', '.join(bank_rows(k))}),
+around AS (SELECT a.r, a.c, layer, weight, {mirrored('a.r', 'dr')} AS nr, {mirrored('a.c', 'dc')} AS nc FROM px a, bank WHERE weight <> 0),
+flat AS (SELECT a.r, a.c, layer, least(greatest(CAST(floor(CAST(sum(weight * q.v) AS DOUBLE) / 1e6 + 0.5e0) AS BIGINT), 0), 255) AS v FROM around a JOIN px q ON q.r = a.nr AND q.c = a.nc GROUP BY a.r, a.c, layer),{windows(BANK, 'flat', 'layer, v', k)},
+s AS (SELECT k, layer, bi, bj, {SUMS_OF_P} FROM p GROUP BY k, layer, bi, bj),
+m AS (SELECT *, CAST(sw AS DOUBLE) / 1e9 / n AS mean FROM s)
+SELECT k, CAST(layer AS INTEGER) AS layer, bi, bj, {MEAN_OF_SUMS} FROM m"""
+
+
+def dmp(n: int) -> str:
+    """The morphological profile of a band of L, section by section: erosions and their reconstructions, which a recursion grows until nothing moves."""
+    step, size = L.step(), L.step() + L.halo
+    filtered = lambda f, x, half, by: f"{f}({x}) OVER (PARTITION BY {by} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    eroded = ",\n".join(
+        f"h{i} AS (SELECT *, {filtered('min', f'e{i - 1}', i, 'tr, tc, s, r ORDER BY c')} AS x{i} FROM z{i - 1}), z{i} AS (SELECT *, {filtered('min', f'x{i}', i, 'tr, tc, s, c ORDER BY r')} AS e{i} FROM h{i})" for i in range(1, 8)
+    )
+    markers = " UNION ALL ".join(f"SELECT tr, tc, s, {i} AS layer, {i} AS half, r, c, own, e{i} AS v FROM z7" for i in range(1, 8))
+    return f"""WITH RECURSIVE {band(n)},
+sec AS (
+  SELECT tr, tc, r, c, v FROM px, (SELECT unnest([0, 1]) AS tr), (SELECT unnest([0, 1]) AS tc)
+  WHERE r >= tr * {step} AND r < tr * {step} + {size} AND c >= tc * {step} AND c < tc * {step} + {size}),
+z0 AS (SELECT tr, tc, s, r, c, s * v AS own, s * v AS e0 FROM sec, (VALUES (1), (-1)) q(s)),
+{eroded},
+grown AS (
+  SELECT tr, tc, s, layer, half, r, c, own, v, 0 AS turn FROM ({markers})
+  UNION ALL
+  SELECT tr, tc, s, layer, half, r, c, own, new AS v, turn + 1 FROM (
+    SELECT *, least({filtered('max', 'y', 'half', 'tr, tc, s, layer, c ORDER BY r')}, own) AS new
+    FROM (SELECT *, {filtered('max', 'v', 'half', 'tr, tc, s, layer, r ORDER BY c')} AS y FROM grown))
+  QUALIFY bool_or(new <> v) OVER (PARTITION BY tr, tc, s, layer)),
+opened AS (SELECT * FROM grown QUALIFY turn = max(turn) OVER (PARTITION BY tr, tc, s, layer)),
+layers AS (SELECT tr, tc, s, layer, r, c, lag(v, 1, own) OVER (PARTITION BY tr, tc, s, r, c ORDER BY layer) - v AS d FROM opened),
+stacks AS (SELECT tr, tc, r, c, list(d ORDER BY s DESC, layer) AS l FROM layers GROUP BY tr, tc, r, c),
+slopes AS (SELECT tr, tc, r, c, CAST(trunc((l[2] - 3 * l[1] + 3 * l[14] - l[13]) / 2e0 / 14e0) AS BIGINT) & 255 AS v FROM stacks),{windows(L, 'slopes', 'tr, tc, v')},
+s AS (SELECT k, bi, bj, {SUMS_OF_P} FROM p WHERE tr = bi * {L.block} // {step} AND tc = bj * {L.block} // {step} GROUP BY k, bi, bj),
 m AS (SELECT *, CAST(sw AS DOUBLE) / 1e9 / n AS mean FROM s)
-SELECT k, CAST(layer AS INTEGER) AS layer, bi, bj, mean, CAST(s2 AS DOUBLE) / n - 2e0 * mean * (CAST(s1 AS DOUBLE) / n) + mean * mean AS var FROM m"""
+SELECT k, bi, bj, {MEAN_OF_SUMS} FROM m"""
+
+
+def patterns() -> str:
+    """CTEs up to counts(k, bi, bj, layer, code, n): binary patterns of E, 0 around the image, counted by window."""
+    rows = []
+    for layer, (samples, radius) in enumerate(PATTERNS):
+        for x in range(samples):
+            dr, dc = round(-radius * sin(2 * pi * x / samples), 5), round(radius * cos(2 * pi * x / samples), 5)
+            rows.append(f"({layer}, {samples}, {x}, {floor(dr)}, {floor(dc)}, {dr - floor(dr)!r}e0, {dc - floor(dc)!r}e0)")
+    at = lambda i, j: f"LEFT JOIN e q{i}{j} ON q{i}{j}.r = a.r + i + {i} AND q{i}{j}.c = a.c + j + {j}"
+    v = lambda i, j: f"coalesce(q{i}{j}.v, 0)"
+    return f"""{RASTER_E},
+samples(layer, samples, x, i, j, fr, fc) AS (VALUES {', '.join(rows)}),
+signs AS (
+  SELECT a.r, a.c, layer, samples, x, CAST((1 - fr) * ((1 - fc) * {v(0, 0)} + fc * {v(0, 1)}) + fr * ((1 - fc) * {v(1, 0)} + fc * {v(1, 1)}) >= a.v - 1e-9 AS INTEGER) AS s
+  FROM (SELECT * FROM e, samples) a {at(0, 0)} {at(0, 1)} {at(1, 0)} {at(1, 1)}),
+rounds AS (SELECT *, lag(s) OVER w AS before, first_value(s) OVER w AS f, last_value(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM signs WINDOW w AS (PARTITION BY r, c, layer ORDER BY x)),
+codes AS (
+  SELECT r, c, layer, CASE WHEN sum(abs(s - coalesce(before, z))) <= 2 THEN sum(s) ELSE any_value(samples) + 1 END AS code FROM rounds GROUP BY r, c, layer),{windows(E, 'codes', 'layer, code')},
+counts AS (SELECT k, bi, bj, layer, code, count(*) AS n FROM p GROUP BY ALL)"""
+
+
+def pattern_histogram() -> str:
+    bins = ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE layer = {x} AND code = {i}), 0) AS DOUBLE) AS p{p}_{i}" for x, (p, _) in enumerate(PATTERNS) for i in range(p + 2))
+    return f"WITH {patterns()}\nSELECT k, bi, bj, {bins} FROM counts GROUP BY k, bi, bj"
+
+
+def pattern_moments() -> str:
+    inner = moments_of("lists", "k, bi, bj", "TRUE")
+    head, _, tail = inner.rpartition("\nSELECT ")
+    shown = ", ".join(f"round({x}, 6) AS {x}" for x in ("max", "mean", "var", "skew", "kurt"))
+    return f"""WITH {patterns()},
+tops AS (SELECT k, bi, bj, layer, greatest(CAST(max(code) AS BIGINT), layer + 1) AS top FROM counts GROUP BY k, bi, bj, layer),
+bins AS (SELECT k, bi, bj, layer, unnest(generate_series(0, top)) AS code FROM tops),
+lists AS (SELECT k, bi, bj, list(CAST(coalesce(n, 0) AS DOUBLE) ORDER BY layer, code) AS a FROM bins LEFT JOIN counts USING (k, bi, bj, layer, code) GROUP BY k, bi, bj),
+{head},
+shown AS (SELECT {tail})
+SELECT k, bi, bj, {shown} FROM shown"""
+
+
+def spectrum() -> str:
+    """Ring means of the log power spectrum of E's windows by plain sums of cosines and sines."""
+    angle = "2e0 * pi() * (CAST((u * lr) % k AS DOUBLE) / k + CAST((f * lc) % k AS DOUBLE) / k)"
+    place = lambda x: f"(({x} + k // 2) % k - (k - 1) / 2e0)"
+    return f"""WITH {RASTER_E},{windows(E, 'e')},
+freq AS (SELECT k, u, unnest(generate_series(0, k - 1)) AS f FROM (SELECT k, unnest(generate_series(0, k - 1)) AS u FROM (SELECT DISTINCT k FROM p))),
+waves AS (SELECT k, bi, bj, u, f, sqrt(sum(v * cos({angle})) * sum(v * cos({angle})) + sum(v * sin({angle})) * sum(v * sin({angle}))) AS x, sum(v) AS total FROM p JOIN freq USING (k) GROUP BY k, bi, bj, u, f),
+levels AS (
+  SELECT k, bi, bj, CAST(floor(sqrt({place('f')} * {place('f')} + {place('u')} * {place('u')})) AS BIGINT) AS ring, CASE WHEN x >= 1e-9 * greatest(total, 1) THEN 20e0 * ln(x) END AS l FROM waves),
+rings AS (SELECT k, bi, bj, ring, CASE WHEN count(l) = count(*) THEN avg(l) END AS m, min(ring) OVER (PARTITION BY k) AS first, max(ring) OVER (PARTITION BY k) AS last FROM levels GROUP BY k, bi, bj, ring)
+SELECT k, bi, bj, round(CASE WHEN count(m) = count(*) THEN avg(m) ELSE 0e0 END, 6) AS mean, round(CASE WHEN count(m) = count(*) THEN stddev_pop(m) ELSE 0e0 END, 6) AS std
+FROM rings WHERE ring > first AND ring < last GROUP BY k, bi, bj"""
+
+
+def tile_states() -> str:
+    """Number and sum of the values of every tile of two triggers and four bands."""
+    cells, parts = TILES.step() // TILES.block, []
+    for n in TILES.bands:
+        parts.append(f"SELECT 'mean' AS trigger, {n} AS band, bi // {cells} AS tr, bj // {cells} AS tc, 2 AS k, mean + var AS v FROM ({mean_of(TILES, band(n))})")
+        parts.append(f"SELECT 'lac', {n}, bi // {cells}, bj // {cells}, 1, lacunarity FROM (WITH {lacunarity(TILES, 'px', band(n, 31))} SELECT * FROM lac)")
+    return f"SELECT trigger, band, tr, tc, 'complete' AS state, {TILES.section_size} AS section_size, CAST(sum(k) AS BIGINT) AS n, round(sum(v), 3) AS total FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
 def basic(spec: FeatureSpec) -> str:
@@ -278,20 +411,18 @@ def means_long() -> str:
 
 
 def multi() -> str:
-    """Four triggers of one band, with their output bands."""
-    own = lambda sql: sql.replace("WITH ", "", 1)
-    parts = {
-        "mean": mean_of(MULTI, band(4)),
-        "pantex": f"WITH {pantex(MULTI, 'px', band(4, 31))}\nSELECT * FROM contrast",
-        "lac": f"WITH {lacunarity(MULTI, 'px', band(4, 31))}\nSELECT * FROM lac",
-        "grad": mean_of(MULTI, f"{band(4)},\n{gradient('px')}", source="grad"),
-    }
+    """Four triggers of four bands, with their output bands: triggers in order, within them bands, scales and statistics."""
     names = {"mean": ("mean", "var"), "pantex": ("contrast",), "lac": ("lacunarity",), "grad": ("mean", "var")}
-    rows = []
-    for t, sql in parts.items():
-        first, n = MULTI.band_ranges()[t][0], STATISTICS[t]
-        for i, name in enumerate(names[t]):
-            rows.append(f"SELECT '{t}' AS trigger, 4 AS band, k, {i} AS stat, '{name}' AS name, bi, bj, {name} AS value, CAST({first} + CASE k WHEN 8 THEN 0 ELSE {n} END + {i} AS INTEGER) AS out_band FROM ({'WITH ' + own(sql)})")
+    rows, at = [], 1
+    for t, own in names.items():
+        for n in MULTI.bands:
+            sql = {
+                "mean": lambda n: mean_of(MULTI, band(n)), "pantex": lambda n: f"WITH {pantex(MULTI, 'px', band(n, 31))}\nSELECT * FROM contrast", "lac": lambda n: f"WITH {lacunarity(MULTI, 'px', band(n, 31))}\nSELECT * FROM lac",
+                "grad": lambda n: mean_of(MULTI, f"{band(n)},\n{gradient('px')}", source="grad"),
+            }[t](n)
+            for i, name in enumerate(own):
+                rows.append(f"SELECT '{t}' AS trigger, {n} AS band, k, {i} AS stat, '{name}' AS name, bi, bj, {name} AS value, CAST(CASE k WHEN 8 THEN {at + i} ELSE {at + len(own) + i} END AS INTEGER) AS out_band FROM ({sql})")
+            at += 2 * len(own)
     return "\nUNION ALL\n".join(rows)
 
 
@@ -317,8 +448,8 @@ SELECT * FROM a FULL JOIN b USING (bi, bj)""",
     "mosaic": f"{SUMS},\ntiles AS (SELECT 0 AS tr, * FROM sums WHERE bi < 70 UNION ALL SELECT 1, out_band, bi, bj, value + 0.5e0 FROM sums WHERE bi >= 60)\nSELECT out_band, bi, bj, max_by(value, tr) AS value FROM tiles GROUP BY out_band, bi, bj",
     "overviews": f"{SUMS}\nSELECT CAST(factor AS INTEGER) AS factor, out_band, bi // factor AS bi, bj // factor AS bj, value FROM (SELECT *, unnest([2, 4, 8, 16]) AS factor FROM sums) WHERE bi % factor = 0 AND bj % factor = 0",
     "default_range": "SELECT storage, 0e0 AS image_min, CASE storage WHEN 'byte' THEN 255e0 WHEN 'uint16' THEN 10000e0 ELSE 1e0 END AS image_max FROM (VALUES ('byte'), ('uint16'), ('float32'), ('float64')) t(storage)",
-    "rescale_8bit": f"WITH {RASTER_L} SELECT r, c, {level('b4', 255)} AS v FROM l",
-    "rescale_5bit": f"WITH {RASTER_L} SELECT r, c, {level('b4', 31)} AS v FROM l",
+    "rescale_8bit": every_band(lambda n: f"WITH {band(n)} SELECT * FROM px"),
+    "rescale_5bit": every_band(lambda n: f"WITH {band(n, 31)} SELECT * FROM px"),
     "rgb_gray": f"WITH {RASTER_L} SELECT r, c, (b1 + b2 + b3) / 3e0 AS v FROM l",
     "block_percentiles": f"""WITH {RASTER_L},
 px AS (SELECT 1 AS band, r, c, b1 AS v FROM l UNION ALL SELECT 2, r, c, b2 FROM l UNION ALL SELECT 3, r, c, b3 FROM l UNION ALL SELECT 4, r, c, b4 FROM l)
@@ -326,7 +457,7 @@ SELECT band, min(lo) AS p_low, max(hi) AS p_high FROM (SELECT band, quantile_con
     "ndvi": index_sql("(nir - red) / nullif(nir + red, 0)"),
     "evi2": index_sql("2.5e0 * (nir - red) / nullif(nir + 2.4e0 * red + 1e0, 0)"),
     "gndvi": index_sql("(nir - green) / nullif(nir + green, 0)"),
-    "grad_mean": mean_of(L, f"{band(4)},\n{gradient('px')}", source="grad"),
+    "grad_mean": every_band(lambda n: mean_of(L, f"{band(n)},\n{gradient('px')}", source="grad")),
     "lab_means": f"WITH {colours()} SELECT * FROM means",
     "saliency_mean": mean_of(L, saliency()),
     "smooth": smooth(),
@@ -336,9 +467,14 @@ b AS (SELECT r, c, CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((v - lo) / ((h
 n AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
 u AS (SELECT bin, CAST(floor(CAST(sum(n) OVER (ORDER BY bin) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) * 255e0) AS BIGINT) AS v FROM n)
 SELECT r, c, v FROM b JOIN u USING (bin)""",
-    "gabor_mean": gabor(),
+    "gabor_mean": every_band(lambda n: " UNION ALL ".join(f"SELECT * FROM ({gabor(n, k)})" for k in BANK.scales)),
+    "dmp_mean": every_band(dmp),
+    "lbp_hist": pattern_histogram(),
+    "lbpm_moments": pattern_moments(),
+    "fourier_psd": spectrum(),
+    "write_tiles": tile_states(),
     "window_mean": mean_of(E, RASTER_E, source="e"),
-    "window_mean_clipped": mean_of(L, band(1)),
+    "window_mean_clipped": every_band(lambda n: mean_of(L, band(n))),
     "window_mean_odd": mean_of(ODD, RASTER_E, source="e"),
     "window_basic": f"{basic(E)}\nSELECT k, bi, bj, n, sum, min, max, s1 / n AS mean, (s2 * n - s1 * s1) / n / n AS var_pop, (s2 * n - s1 * s1) / n / nullif(n - 1e0, 0) AS var_samp FROM s",
     "moments5": window_moments(),
@@ -347,7 +483,7 @@ SELECT r, c, v FROM b JOIN u USING (bin)""",
     "lacunarity": f"WITH {lacunarity(E, 'e5', RASTER_E5)}\nSELECT * FROM lac",
     "pyramid_hist": pyramid(),
     "hog_moments": hog(),
-    "sfs_rays": sfs(),
+    "sfs_rays": " UNION ALL ".join(f"SELECT * FROM ({sfs(k)})" for k in LINES.scales),
     "feature_neighbors": f"""{means_long()},
 a AS (SELECT *, lag(value) OVER r AS l, lead(value) OVER r AS rr, lag(value) OVER c AS t, lead(value) OVER c AS b FROM long WINDOW r AS (PARTITION BY k, stat, bi ORDER BY bj), c AS (PARTITION BY k, stat, bj ORDER BY bi))
 SELECT k, stat, bi, bj, side, CASE side WHEN 'own' THEN value WHEN 'left' THEN coalesce(l, value) WHEN 'right' THEN coalesce(rr, value) WHEN 'top' THEN coalesce(t, value) ELSE coalesce(b, value) END AS value

@@ -20,6 +20,9 @@ from cellweave.spec import FeatureSpec
 E = FeatureSpec(triggers=("mean",), block=4, scales=(4, 8), section_size=128)
 ODD = FeatureSpec(triggers=("mean",), block=1, scales=(5, 7), section_size=126)
 ONE = FeatureSpec(triggers=("sfs",), block=4, scales=(8,), section_size=128)
+LINES = FeatureSpec(triggers=("sfs",), block=4, scales=(8, 16), section_size=128)
+BANK = FeatureSpec(triggers=("gabor",), block=6, scales=(8, 16), section_size=96, bands=(1, 2, 3, 4))
+TILES = FeatureSpec(triggers=("mean", "lac"), block=4, scales=(8,), section_size=48, storage="uint16", bands=(1, 2, 3, 4))
 L = FeatureSpec(triggers=("mean",), block=6, scales=(8, 16), section_size=96, storage="uint16", bands=(1, 2, 3, 4))
 V = FeatureSpec(triggers=("orb",), block=4, scales=(8, 16), section_size=256)
 SIDE = (tables.SIDE, tables.SIDE)
@@ -40,10 +43,9 @@ def e_size(spark: SparkSession, d: str) -> tuple[int, int]:
     return int(tables.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0]) + 1, 64
 
 
-def l8(spark: SparkSession, d: str, band: int) -> DataFrame:
-    """A band of L as 8-bit pixels."""
-    image = tables.long_bands(tables.lineitem_bands(spark, d), (band,))
-    return image.withColumn("v", fn.rescaled(F.col("v"), 0, tables.BANDS_MAX))
+def l8(spark: SparkSession, d: str, top: int = 255) -> DataFrame:
+    """The bands of L as pixels 0 .. top."""
+    return tables.long_bands(tables.lineitem_bands(spark, d)).withColumn("v", fn.rescaled(F.col("v"), 0, tables.BANDS_MAX, top))
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -121,10 +123,6 @@ def default_range(spark: SparkSession, d: str) -> DataFrame:
     return kinds.select("storage", low.alias("image_min"), high.alias("image_max"))
 
 
-def rescale(top: int):
-    return lambda spark, d: tables.lineitem_bands(spark, d).select("r", "c", fn.rescaled(F.col("b4"), 0, tables.BANDS_MAX, top).alias("v"))
-
-
 def colour(spark: SparkSession, d: str) -> DataFrame:
     return stencils.colours(tables.lineitem_bands(spark, d), *SIDE, 0.0, float(tables.BANDS_MAX))
 
@@ -159,39 +157,45 @@ def pyramid_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sfs_rays(spark: SparkSession, d: str) -> DataFrame:
-    got = texture.sfs(e(spark, d), ONE, e_size(spark, d))
+    got = texture.sfs(e(spark, d), LINES, e_size(spark, d))
     return got.select("k", "bi", "bj", *(F.round(x, 6).alias(x) for x in ("max", "min", "mean", "wmean", "std", "orthogonal")))
 
 
-def gabor_mean(spark: SparkSession, d: str) -> DataFrame:
-    spec = FeatureSpec(triggers=("gabor",), block=6, scales=(8,), section_size=96)
-    return plain(on_tiles(l8(spark, d, 4), spec, kernels.GABOR_BANK, SIDE))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """df with doubles of so many decimals, for comparison: sums of theirs are made in another order in SQL."""
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else c for c, kind in df.dtypes))
 
 
 def feature_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return features.neighbors(means_long(spark, d)).select("k", "stat", "bi", "bj", "side", "value")
 
 
-MULTI = FeatureSpec(triggers=("mean", "pantex", "lac", "grad"), block=6, scales=(8, 16), section_size=96, storage="uint16", bands=(4,))
+MULTI = FeatureSpec(triggers=("mean", "pantex", "lac", "grad"), block=6, scales=(8, 16), section_size=96, storage="uint16", bands=(1, 2, 3, 4))
 
 
 def spatial_features(spark: SparkSession, d: str) -> DataFrame:
-    """Four triggers of one band in one plan."""
-    image = tables.long_bands(tables.lineitem_bands(spark, d), (4,))
+    """Four triggers of four bands in one plan."""
+    image = tables.long_bands(tables.lineitem_bands(spark, d))
     return features.spatial_features(image, MULTI, SIDE).select("trigger", "band", "k", "stat", "name", "bi", "bj", "value", "out_band")
 
 
 def shared_path(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
+    """A fresh folder that driver and executors share; a temporary one only where all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
     return f"{base}/cellweave-tiles-{uuid.uuid4().hex}"
 
 
 def write_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """The states of the tiles of two triggers, written to the shared folder."""
-    spec = FeatureSpec(triggers=("mean", "lac"), block=4, scales=(8,), section_size=48, storage="uint16", bands=(4,))
-    image = tables.long_bands(tables.lineitem_bands(spark, d), (4,))
-    states = mosaic.write_tiles(image, spec, shared_path(spark), SIDE)
-    return states.select("trigger", "band", "tr", "tc", "state", "section_size")
+    """The states of the tiles of two triggers and four bands, written to the shared folder, with the number and sum of the values that are read back."""
+    path = shared_path(spark)
+    states = mosaic.write_tiles(tables.long_bands(tables.lineitem_bands(spark, d)), TILES, path, SIDE)
+    tile = ["trigger", "band", "tr", "tc"]
+    back = spark.read.parquet(f"{path}/tiles").groupBy(*tile).agg(F.count("value").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return states.join(back, tile, "left").select(*tile, "state", "section_size", "n", "total")
 
 
 QUERIES = {
@@ -207,25 +211,25 @@ QUERIES = {
     "stack_features": stack_features,
     "overviews": thinned,
     "default_range": default_range,
-    "rescale_8bit": rescale(255),
-    "rescale_5bit": rescale(31),
+    "rescale_8bit": l8,
+    "rescale_5bit": lambda s, d: l8(s, d, 31),
     "rgb_gray": lambda s, d: tables.lineitem_bands(s, d).select("r", "c", fn.gray(F.col("b1"), F.col("b2"), F.col("b3")).alias("v")),
     "block_percentiles": lambda s, d: fn.block_percentiles(tables.long_bands(tables.lineitem_bands(s, d)), 32),
     "ndvi": index_mean("ndvi"),
     "evi2": index_mean("evi2"),
     "gndvi": index_mean("gndvi"),
-    "grad_mean": lambda s, d: plain(window.window_mean(stencils.gradient(l8(s, d, 4), *SIDE), L, SIDE)),
+    "grad_mean": lambda s, d: window.window_mean(stencils.gradient(l8(s, d), *SIDE), L, SIDE),
     "lab_means": lambda s, d: stencils.colour_means(colour(s, d), 48),
     "saliency_mean": saliency_mean,
     "smooth": lambda s, d: plain(stencils.smoothed(e(s, d), 3, *e_size(s, d))),
     "equalize": lambda s, d: plain(fn.equalized(e(s, d))),
     "equalize_adapt": lambda s, d: plain(image_on_tiles(e(s, d), E, kernels.adaptive_equalized, e_size(s, d))),
-    "dmp_mean": lambda s, d: plain(on_tiles(l8(s, d, 4), L, kernels.DMP, SIDE)).drop("layer"),
-    "gabor_mean": gabor_mean,
+    "dmp_mean": lambda s, d: on_tiles(l8(s, d), L, kernels.DMP, SIDE).drop("layer"),
+    "gabor_mean": lambda s, d: on_tiles(l8(s, d), BANK, kernels.GABOR_BANK, SIDE),
     "orb_moments": orb_moments,
     "seg_mean": segment_mean,
     "window_mean": lambda s, d: plain(window.window_mean(e(s, d), E, e_size(s, d))),
-    "window_mean_clipped": lambda s, d: plain(window.window_mean(l8(s, d, 1), L, SIDE)),
+    "window_mean_clipped": lambda s, d: window.window_mean(l8(s, d), L, SIDE),
     "window_mean_odd": lambda s, d: plain(window.window_mean(e(s, d), ODD, e_size(s, d))),
     "window_basic": lambda s, d: plain(window.window_basic(e(s, d), E, e_size(s, d))),
     "moments5": lambda s, d: plain(window.window_moments(e(s, d), E, e_size(s, d))),
@@ -235,10 +239,10 @@ QUERIES = {
     "pyramid_hist": pyramid_hist,
     "hog_moments": lambda s, d: plain(texture.hog(e(s, d), E, e_size(s, d))),
     "sfs_rays": sfs_rays,
-    "fourier_psd": on_e(kernels.FOURIER),
-    "lbpm_moments": on_e(kernels.LBP_MOMENTS),
+    "fourier_psd": lambda s, d: rounded(on_e(kernels.FOURIER)(s, d)),
+    "lbpm_moments": lambda s, d: rounded(on_e(kernels.LBP_MOMENTS)(s, d)),
     "lbp_hist": on_e(kernels.LBP_HISTOGRAM),
-    "lsr": lambda s, d: plain(on_tiles(l8(s, d, 4), FeatureSpec(triggers=("lsr",), block=8, scales=(16, 32), section_size=96), kernels.LSR, SIDE)).drop("layer"),
+    "lsr": lambda s, d: on_tiles(l8(s, d), FeatureSpec(triggers=("lsr",), block=8, scales=(16, 32), section_size=96), kernels.LSR, SIDE).drop("layer"),
     "feature_neighbors": feature_neighbors,
     "spatial_features": spatial_features,
 }
