@@ -11,7 +11,7 @@ from cellweave.functions.pixels import INDICES, spectral_index
 from cellweave.geometry import MOST_COPIES, copies, extent
 from cellweave.operators import kernels, stencils, texture, window
 from cellweave.operators.tiles import image_on_tiles, on_tiles
-from cellweave.spec import STATISTICS, FeatureSpec
+from cellweave.spec import FeatureSpec
 
 Size = tuple[int, int]
 KEYS = ("band",)
@@ -54,9 +54,9 @@ def for_every_band(features: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 
 def index_image(pixels: DataFrame, spec: FeatureSpec, name: str) -> DataFrame:
-    used = {x: spec.sensor_bands[x] for x in INDICES[name][0] if x in spec.sensor_bands}
+    used = {x: spec.sensor_bands[x] for x in spec.colours(name)}
     wide = wide_bands(pixels, tuple(sorted(set(used.values()))))
-    return spectral_index(wide, name, spec.range()[1], {x: f"b{b}" for x, b in used.items()}).withColumn("band", F.lit(spec.bands[0]))
+    return spectral_index(wide, name, spec.range()[1], {x: f"b{b}" for x, b in used.items()}, spec.formulas.get(name)).withColumn("band", F.lit(spec.bands[0]))
 
 
 def saliency_image(pixels: DataFrame, spec: FeatureSpec, size: Size) -> DataFrame:
@@ -129,6 +129,10 @@ TRIGGERS: dict[str, Callable[[DataFrame, FeatureSpec, Size], DataFrame]] = {
 }
 
 
+def trigger(spec: FeatureSpec, name: str) -> Callable[[DataFrame, FeatureSpec, Size], DataFrame]:
+    return _of_mean(name, lambda p, s, z: index_image(p, s, name), every=True, digits=6) if name in spec.formulas else TRIGGERS[name]
+
+
 def spatial_features(pixels: DataFrame, spec: FeatureSpec, size: Size | None = None) -> DataFrame:
     """Every statistic of every trigger, band and scale; with ``neighbors``, those of the four cells around as further statistics.
 
@@ -136,7 +140,7 @@ def spatial_features(pixels: DataFrame, spec: FeatureSpec, size: Size | None = N
     not larger than the halo, gives no rows.
     """
     size = size or extent(pixels)
-    parts = [TRIGGERS[t](pixels, spec, size) for t in spec.triggers]
+    parts = [trigger(spec, t)(pixels, spec, size) for t in spec.triggers]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -147,7 +151,7 @@ def spatial_features(pixels: DataFrame, spec: FeatureSpec, size: Size | None = N
 def with_out_band(features: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Adds the output band (from 1): triggers in order, within them bands, scales and statistics."""
     first = F.create_map(*(x for t, (lo, _) in spec.band_ranges().items() for x in (F.lit(t), F.lit(lo))))
-    per = F.create_map(*(x for t in spec.triggers for x in (F.lit(t), F.lit(STATISTICS[t]))))
+    per = F.create_map(*(x for t in spec.triggers for x in (F.lit(t), F.lit(spec.statistics(t)))))
     band, scale = (F.array_position(F.array(*map(F.lit, xs)), F.col(c)) - 1 for xs, c in ((spec.bands, "band"), (spec.scales, "k")))
     place = first[F.col("trigger")] + (band * len(spec.scales) + scale) * per[F.col("trigger")] + F.col("stat")
     return features.withColumn("out_band", place.cast("int"))
@@ -178,7 +182,7 @@ def wide_form(features: DataFrame, spec: FeatureSpec) -> DataFrame:
     for t in spec.triggers:
         for b in spec.bands:
             for k in spec.scales:
-                for s in range(STATISTICS[t]):
+                for s in range(spec.statistics(t)):
                     same = (F.col("trigger") == t) & (F.col("band") == b) & (F.col("k") == k) & (F.col("stat") == s)
                     columns.append(F.max(F.when(same, F.col("value"))).alias(band_name(spec, t, b, k, s)))
     return features.groupBy("bi", "bj").agg(*columns)

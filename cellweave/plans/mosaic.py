@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from cellweave.spec import FeatureSpec
 
 #: Triggers that need the whole image, and pixels around a section that any other may need.
 IMAGE_WIDE, MARGIN = ("saliency",), 16
+#: Triggers whose images are made section by section, and how many such steps (an equalised image, one made of it, windows) may follow one another.
+SECTION_WIDE, STEPS = ("dmp", "lsr", "orb", "seg"), 3
 STATUS = "trigger string, band int, tr long, tc long, section_size int, state string, written timestamp"
 
 
@@ -20,6 +25,24 @@ def tile_of(spec: FeatureSpec) -> dict:
     return {"tr": F.floor(F.col("bi") / cells), "tc": F.floor(F.col("bj") / cells)}
 
 
+def margin_of(spec: FeatureSpec) -> int:
+    """Pixels around a section that stencils and smoothing may look at."""
+    return max(spec.largest, MARGIN) + spec.smooth // 2
+
+
+def sections_around(spec: FeatureSpec, triggers: tuple[str, ...] | None = None) -> int:
+    """How many sections around a tile its values depend on: 0 where no step takes sections as a whole."""
+    by_section = spec.equalize or spec.equalize_adapt or any(t in SECTION_WIDE for t in triggers or spec.triggers)
+    return STEPS * -(-(spec.halo + 2 * margin_of(spec)) // spec.step()) if by_section else 0
+
+
+def with_surroundings(tiles: DataFrame, reach: int) -> DataFrame:
+    """(tr, tc) of tiles and of all that are up to ``reach`` of them away; some may not be of the image."""
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    out = tiles.select(F.explode(F.transform(around, lambda x: F.col("tr") + x)).alias("tr"), "tc")
+    return out.select("tr", F.explode(F.transform(around, lambda x: F.col("tc") + x)).alias("tc")).distinct()
+
+
 def all_tiles(spark: SparkSession, spec: FeatureSpec, rows: int, cols: int) -> DataFrame:
     """(tr, tc) of every tile with cells."""
     n, m = spec.out_size(rows, cols)
@@ -55,7 +78,7 @@ def write_tiles(pixels: DataFrame, spec: FeatureSpec, path: str, size: tuple[int
     Tiles are partitions by trigger, band and place, replaced one by one. A tile with a missing or non-finite value
     is corrupt, and made again next time; so are those of another section size. A run that is cut off between the
     two writes leaves tiles without a state, which are made again too. Only the pixels that unfinished tiles
-    read are computed with.
+    read are computed with; where a step takes sections as a whole, these are all of the sections that it reaches.
     """
     spark = pixels.sparkSession
     size = size or extent(pixels)
@@ -67,8 +90,9 @@ def write_tiles(pixels: DataFrame, spec: FeatureSpec, path: str, size: tuple[int
             continue
         needed = pixels
         if trigger not in IMAGE_WIDE:
-            spread = spread_to_sections(pixels, spec, *size, margin=max(spec.largest, MARGIN))
-            needed = spread.join(own.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi").select(*pixels.columns).dropDuplicates(["band", "r", "c"])
+            spread = spread_to_sections(pixels, spec, *size, margin=margin_of(spec))
+            tiles = with_surroundings(own.select("tr", "tc").distinct(), sections_around(spec, (trigger,)))
+            needed = spread.join(tiles, ["tr", "tc"], "left_semi").select(*pixels.columns).dropDuplicates(["band", "r", "c"])
         single = _only(spec, trigger)
         made = spatial_features(needed, single, size).withColumns(tile_of(spec)).join(own, ["trigger", "band", "tr", "tc"], "left_semi")
         made.repartition("trigger", "band", "tr", "tc").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trigger", "band", "tr", "tc").parquet(f"{path}/tiles")
@@ -88,6 +112,14 @@ def _only(spec: FeatureSpec, trigger: str) -> FeatureSpec:
     return replace(spec, triggers=(trigger,))
 
 
+def log_parameters(spark: SparkSession, spec: FeatureSpec, path: str, **more) -> None:
+    """Appends a line of JSON with the parameters, when they were used and what else is given to the log under ``path``/parameters."""
+    from dataclasses import asdict
+
+    line = json.dumps({"when": datetime.now(UTC).isoformat(timespec="seconds"), **more, **asdict(spec)}, default=str)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{path}/parameters")
+
+
 def finished(states: DataFrame) -> DataFrame:
     """One row: whether every tile is complete, and how many are in which state."""
     count = lambda s: F.count_if(F.col("state") == s).alias(s)

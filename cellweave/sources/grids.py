@@ -278,23 +278,25 @@ def encoded_tiles(features: DataFrame, spec, image: str, left: float, top: float
 
 
 def write_files(files: DataFrame, directory: str) -> DataFrame:
-    """Writes (name, content) rows into a directory that all executors share, by Hadoop's or the local file system; returns the names.
+    """Writes (name, content) rows as files into a directory that all executors reach, by its scheme (file, hdfs, s3, gs, ..); returns the names and sizes.
 
-    A file is written under a temporary name and renamed, so a task that runs twice leaves one whole file.
+    Tasks write by Arrow's file systems. A file is written under a temporary name and moved, so a task that runs twice
+    leaves one whole file. A path without a scheme is a local one.
     """
-    local = directory.removeprefix("file://")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
-        os.makedirs(local, exist_ok=True)
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
+        store.create_dir(base, recursive=True)
         for batch in batches:
             for row in batch.to_pylist():
-                part = os.path.join(local, f".{uuid.uuid4().hex}")
-                with open(part, "wb") as f:
-                    f.write(row["content"])
-                os.replace(part, os.path.join(local, row["name"]))
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(row["content"])
+                store.move(part, f"{base}/{row['name']}")
                 yield pa.RecordBatch.from_arrays([pa.array([row["name"]]), pa.array([len(row["content"])], pa.int64())], ["name", "bytes"])
 
     return files.mapInArrow(run, "name string, bytes long")

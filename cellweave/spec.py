@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from math import ceil
 
@@ -12,6 +13,15 @@ STATISTICS = {
 }
 #: Declared by name only: nothing is computed for these.
 UNSUPPORTED = ("ctr", "hough", "sfsorf", "surf", "xy")
+#: Colours that the spectral indices are made of.
+INDEX_COLOURS = {"ndvi": ("nir", "red"), "gndvi": ("nir", "green"), "evi2": ("nir", "red")}
+#: Bands (from 1) of the colours of common sensors.
+SENSORS = {
+    "rgb": {"red": 1, "green": 2, "blue": 3}, "bgr": {"blue": 1, "green": 2, "red": 3}, "pan": {}, "bgrn": {"blue": 1, "green": 2, "red": 3, "nir": 4}, "rgbn": {"red": 1, "green": 2, "blue": 3, "nir": 4},
+    "landsat5": {"blue": 1, "green": 2, "red": 3, "nir": 4}, "landsat7": {"blue": 1, "green": 2, "red": 3, "nir": 4}, "landsat8": {"coastal": 1, "blue": 2, "green": 3, "red": 4, "nir": 5},
+    "sentinel2-10m": {"blue": 1, "green": 2, "red": 3, "nir": 4}, "worldview2": {"coastal": 1, "blue": 2, "green": 3, "yellow": 4, "red": 5, "rededge": 6, "nir": 7, "nir2": 8},
+    "quickbird": {"blue": 1, "green": 2, "red": 3, "nir": 4}, "ikonos": {"blue": 1, "green": 2, "red": 3, "nir": 4},
+}
 #: Range of a storage type; None: 0 to 255.
 STORAGE_MAX = {"byte": 255.0, "uint16": 10000.0, "float32": 1.0, "float64": 1.0}
 
@@ -24,7 +34,8 @@ class SpecError(ValueError):
 class FeatureSpec:
     """Parameters of one computation; scales are kept sorted.
 
-    ``section_size`` is raised until the largest scale divides it, as tiles are made of whole windows.
+    ``section_size`` is raised until the largest scale divides it, as tiles are made of whole windows. ``formulas``
+    are further spectral indices: names, which are triggers then, with Spark SQL expressions over the sensor's colours.
     """
 
     triggers: tuple[str, ...] = ("mean",)
@@ -44,7 +55,8 @@ class FeatureSpec:
     box: int = 2
     weight: bool = False
     neighbors: bool = False
-    sensor_bands: dict[str, int] = field(default_factory=lambda: {"blue": 1, "green": 2, "red": 3, "nir": 4})
+    sensor_bands: dict[str, int] = field(default_factory=lambda: dict(SENSORS["bgrn"]))
+    formulas: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "scales", tuple(sorted(self.scales)))
@@ -61,8 +73,12 @@ class FeatureSpec:
         for t in self.triggers:
             if t in UNSUPPORTED:
                 raise SpecError(f"{t} has no implementation")
-            if t not in STATISTICS:
-                raise SpecError(f"unknown trigger {t}; there are {', '.join(sorted(STATISTICS))}")
+            if t not in STATISTICS and t not in self.formulas:
+                raise SpecError(f"unknown trigger {t}; there are {', '.join(sorted(STATISTICS))}, or give a formula")
+            if missing := [c for c in self.colours(t) if c not in self.sensor_bands]:
+                raise SpecError(f"{t} needs {', '.join(missing)}, which the sensor does not have")
+        if taken := [t for t in self.formulas if t in STATISTICS or t in UNSUPPORTED]:
+            raise SpecError(f"{', '.join(taken)} can't be given a formula")
         if min(self.scales) < 1 or self.block < 1:
             raise SpecError("block and scales must be positive")
         if self.block > self.scales[-1]:
@@ -78,6 +94,17 @@ class FeatureSpec:
         if self.section_size < 1:
             raise SpecError("section_size must be positive")
 
+    def colours(self, trigger: str) -> tuple[str, ...]:
+        """The colours that a spectral index is made of; none for other triggers."""
+        if trigger in self.formulas:
+            words = set(re.findall(r"[A-Za-z_]\w*", self.formulas[trigger]))
+            return tuple(sorted(words & {c for sensor in SENSORS.values() for c in sensor} | words & self.sensor_bands.keys()))
+        return INDEX_COLOURS.get(trigger, ())
+
+    def statistics(self, trigger: str) -> int:
+        """Statistics of a scale; a formula is measured like the other indices."""
+        return 2 if trigger in self.formulas else STATISTICS[trigger]
+
     @property
     def largest(self) -> int:
         return self.scales[-1]
@@ -111,14 +138,14 @@ class FeatureSpec:
         """First and last output band (from 1) of every trigger."""
         out, at = {}, 0
         for t in self.triggers:
-            n = STATISTICS[t] * len(self.scales) * len(self.bands)
+            n = self.statistics(t) * len(self.scales) * len(self.bands)
             out[t] = (at + 1, at + n)
             at += n
         return out
 
     def out_band(self, trigger: str, band: int, k: int, stat: int) -> int:
         """Output band (from 1) of a statistic (from 0): bands within a trigger, scales within a band, statistics within a scale."""
-        n = STATISTICS[trigger]
+        n = self.statistics(trigger)
         return self.band_ranges()[trigger][0] + (self.bands.index(band) * len(self.scales) + self.scales.index(k)) * n + stat
 
     def base_name(self, image: str, with_triggers: bool = True) -> str:

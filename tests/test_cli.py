@@ -23,3 +23,9 @@ def test_options_and_refusals(capsys):
     assert cli.main(["--options"]) == 0 and "pantex: 1" in capsys.readouterr().out
     assert cli.main(["-i", "x", "-o", "y", "-tr", "hough"]) == 2
     assert cli.main(["-tr", "mean"]) == 2
+    assert cli.main(["-i", "x", "-o", "y", "-tr", "ndvi", "--sensor", "rgb"]) == 2
+    assert cli.main(["-i", "x", "-o", "y", "-tr", "rb", "--formula", "rb"]) == 2
+    a = cli.parser().parse_args(["--n-jobs", "-1", "--full-path", "--stack", "-tr", "rb", "--sensor", "rgb", "--formula", "rb=red - blue"])
+    assert cli.specification(a).colours("rb") == ("blue", "red") and cli.specification(a).sensor_bands["red"] == 1
+    assert cli.main(["--examples"]) == 0 and "--formula" in capsys.readouterr().out
+    assert cli.main(["--raster-options"]) == 0

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pandas as pd
 import pytest
 from rasters import to_pixels
 
 from cellweave.plans import features, mosaic
 from cellweave.sources import grids
-from cellweave.spec import STATISTICS, FeatureSpec
+from cellweave.spec import STATISTICS, FeatureSpec, SpecError
 from cellweave.streaming import ingest
 
 
@@ -148,13 +149,60 @@ def test_features_as_files(spark, tmp_path):
     assert (first["left"], first["top"], first["bands"]) == (2.0 + 5 * 4, -2.0 - 5 * 4, 2)
 
 
-def test_streamed_pixels_give_the_same_features(spark, tmp_path):
-    spec = FeatureSpec(block=4, scales=(8,), section_size=16)
-    pixels = pixels_of(spark, image()).selectExpr("cast(band as int) band", "r", "c", "cast(v as double) v")
-    pixels.where("r < 20").coalesce(1).write.parquet(f"{tmp_path}/in")
-    pixels.where("r >= 15").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+WHOLE_SECTIONS = [{"triggers": ("mean", "orb"), "equalize": True}, {"triggers": ("seg", "sfs"), "smooth": 3}]
+
+
+def test_margins_hold_what_stencils_and_smoothing_look_at():
+    assert mosaic.margin_of(FeatureSpec(smooth=35)) >= 16 + 17 and mosaic.margin_of(FeatureSpec(scales=(64,))) >= 64
+    assert mosaic.sections_around(FeatureSpec(triggers=("mean", "ndvi"))) == 0 < mosaic.sections_around(FeatureSpec(triggers=("mean", "orb")))
+
+
+@pytest.mark.parametrize("more", WHOLE_SECTIONS, ids=lambda m: "-".join(m["triggers"]))
+def test_resumed_tiles_have_the_values_of_a_fresh_run(spark, tmp_path, more):
+    """One tile of every trigger is found corrupt; what is made again equals the whole image's values."""
+    size, path = (112, 104), f"file://{tmp_path}/out"
+    spec = FeatureSpec(block=8, scales=(16,), section_size=32, **more)
+    pixels = pixels_of(spark, image(3, size, 3)).cache()
+    want = {tuple(r) for r in features.spatial_features(pixels, spec, size).select("trigger", "band", "k", "stat", "bi", "bj", "value").collect()}
+    mosaic.write_tiles(pixels, spec, path, size)
+    read = lambda: {tuple(r) for r in spark.read.parquet(f"{path}/tiles").selectExpr("trigger", "cast(band as int) band", "k", "stat", "bi", "bj", "value").collect()}
+    assert read() == want
+    bad = spark.createDataFrame([(t, 1, 1, 2, spec.section_size, "corrupt") for t in spec.triggers], "trigger string, band int, tr long, tc long, section_size int, state string")
+    bad.selectExpr("*", "current_timestamp() AS written").write.mode("append").parquet(f"{path}/status")
+    assert mosaic.finished(mosaic.write_tiles(pixels, spec, path, size)).first()["all_finished"]
+    assert read() == want
+
+
+def test_own_formulas_sensors_and_the_log(spark, tmp_path):
+    pixels = pixels_of(spark, image(5, bands=4)).cache()
+    spec = FeatureSpec(triggers=("ndvi", "own"), block=8, scales=(16,), section_size=32, formulas={"own": "try_divide(nir - red, nir + red)"})
+    got = features.spatial_features(pixels, spec, (40, 36)).collect()
+    of = lambda t: {(r["stat"], r["bi"], r["bj"]): r["value"] for r in got if r["trigger"] == t}
+    assert of("own") == of("ndvi") and {r["out_band"] for r in got} == {1, 2, 3, 4}
+    for bad in ({"sensor_bands": {"red": 1}}, {"formulas": {"mean": "red"}, "triggers": ("mean",)}, {"triggers": ("own",), "formulas": {"own": "yellow / red"}}):
+        with pytest.raises(SpecError):
+            FeatureSpec(**({"triggers": ("ndvi",)} | bad))
+    for k in (1, 2):
+        mosaic.log_parameters(spark, spec, f"file://{tmp_path}/o", run=k)
+    lines = [json.loads(r[0]) for r in spark.read.text(f"file://{tmp_path}/o/parameters").collect()]
+    assert sorted(x["run"] for x in lines) == [1, 2] and lines[0]["triggers"] == ["ndvi", "own"] and lines[0]["block"] == 8
+
+
+@pytest.mark.parametrize("more", [{"triggers": ("ndvi", "grad"), "smooth": 3}, {"triggers": ("orb",), "equalize": True}], ids=lambda m: "-".join(m["triggers"]))
+def test_streamed_pixels_give_the_same_features(spark, tmp_path, more):
+    size = (64, 56)
+    spec = FeatureSpec(block=8, scales=(16,), section_size=32, **more)
+    pixels = pixels_of(spark, image(4, size, 4)).selectExpr("cast(band as int) band", "r", "c", "cast(v as double) v").cache()
+    for part in ("r < 30", "r >= 25 AND r < 50", "r >= 45", "r < 5"):
+        pixels.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = ingest.read_pixel_stream(spark, f"{tmp_path}/in", 1)
-    ingest.feature_stream(stream, spec, (40, 36), f"file://{tmp_path}/out").awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out/features").select("stat", "bi", "bj", "value").collect()}
-    want = {tuple(r) for r in features.spatial_features(pixels, spec, (40, 36)).select("stat", "bi", "bj", "value").collect()}
-    assert got == want and pd.DataFrame(list(got))[[0, 1, 2]].duplicated().sum() == 0
+    ingest.feature_stream(stream, spec, size, f"file://{tmp_path}/out").awaitTermination()
+    names = ("trigger", "stat", "bi", "bj", "value")
+    got = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out/features").select(*names).collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in features.spatial_features(pixels, spec, size).select(*names).collect()}
+
+
+def test_streams_refuse_what_needs_the_whole_image(spark, tmp_path):
+    stream = ingest.read_pixel_stream(spark, str(tmp_path))
+    with pytest.raises(SpecError):
+        ingest.feature_stream(stream, FeatureSpec(triggers=("saliency",)), (64, 64), f"file://{tmp_path}/out")
