@@ -18,6 +18,7 @@ n-grams are 56-bit hashes: a collision among a billion of them would give one a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ ORDER = 3
 BATCH_TOKENS = 600_000
 #: Bytes of text whose requests are a share of the hash space: what a task that answers holds at a time.
 SHARE_BYTES = 4 << 20
+#: Tasks that answer; beyond so many shares a task answers several, one after another, as every asking task has a block for each.
+MOST_TASKS = 20_000
+#: Requests that are handed on at once.
+ASKED = 1000
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 #: Cells a unit of the logarithm of a ratio of probabilities (tokens of a cell go by their mean ratios); bounds of the exponent; buckets of an order.
 FINE, WIDEST, BUCKETS = 16, 480, 24
@@ -182,10 +187,12 @@ def encoded(docs: DataFrame, order: int, parts: int, batch_tokens: int, asks: bo
             if asks:
                 batch = Batch(keys, tokens, sizes, order)
                 train = batch.counts(np.array(self.folds) != HELD_OUT)
-                edges = np.searchsorted(share_of(batch.keys, parts), np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(edges)).tolist():
-                    own = slice(edges[p], edges[p + 1])
-                    yield pa.RecordBatch.from_pylist([{"batch": self.number, "part": p, "keys": pack_sorted(batch.keys[own]), "train": squeezed(varpack(train[own]))}], schema=arrow)
+                share = share_of(batch.keys, parts)
+                edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(share)]
+                for k in range(0, len(edges) - 1, ASKED):
+                    own = [slice(*x) for x in pairwise(edges[k : k + ASKED + 1])]
+                    made = [{"batch": self.number, "part": int(share[x.start]), "keys": pack_sorted(batch.keys[x]), "train": squeezed(varpack(train[x]))} for x in own]
+                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
             else:
                 yield pa.RecordBatch.from_pylist([{"batch": self.number, "keys": keys.tobytes(), "tokens": planes(tokens), "ids": self.ids, "sizes": sizes.tolist(), "folds": self.folds}], schema=arrow)
             self.number += 2
@@ -220,10 +227,10 @@ def signature(keys: np.ndarray) -> int:
     return int(keys.sum(dtype=np.uint64).view(np.int64))
 
 
-def answered(asks: DataFrame, parts: int) -> DataFrame:
+def answered(asks: DataFrame, parts: int, most_tasks: int = MOST_TASKS) -> DataFrame:
     """The corpus counts of every batch's n-grams, in the order of its request, and a sum of the keys as its sign; for deleted batches also those of deleted documents.
 
-    One row of a share has its number of distinct training tokens, and their occurrences.
+    A share is a group of its own, whatever the number of tasks. One row of a share has its number of distinct training tokens, and their occurrences.
     """
     arrow = to_arrow_schema(ANSWER)
 
@@ -247,7 +254,7 @@ def answered(asks: DataFrame, parts: int) -> DataFrame:
             out.append({"batch": r["batch"], "part": r["part"], "counts": squeezed(varpack(total[at[lo:hi]])), "deleted": gone, "sign": signature(keys[k])} | own)
         return pa.Table.from_pylist(out, arrow)
 
-    return asks.repartition(parts, "part").groupBy("part").applyInArrow(meet, ANSWER)
+    return asks.repartition(min(parts, most_tasks), "part").groupBy("part").applyInArrow(meet, ANSWER)
 
 
 def reassembled(text: pa.Table, answers: pa.Table, order: int) -> tuple[dict, Batch, np.ndarray, np.ndarray | None]:

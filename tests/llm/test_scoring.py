@@ -107,6 +107,16 @@ def test_against_brute_force(spark, order, batch):
         assert r["score"] == pytest.approx(score, rel=1e-3)
 
 
+def test_requests_are_answered_alike_by_any_number_of_tasks_and_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(k, prose(k % 20, 5 + k % 30)) for k in range(60)], "doc_id long, text string")
+    want = None
+    for asked, tasks in ((1000, 1000), (3, 1), (1, 7)):
+        monkeypatch.setattr(op, "ASKED", asked)
+        got = [tuple(r) for r in op.answered(op.encoded(df.coalesce(1), 3, 50, 200, True), 50, tasks).orderBy("batch", "part").collect()]
+        want = want or got
+        assert got == want and len({r[1] for r in got}) == 50
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5000])
 def test_sorted_keys_come_back(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**56, n, np.uint64))
