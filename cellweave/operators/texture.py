@@ -1,4 +1,4 @@
-"""Texture of windows in DataFrame functions: co-occurrence contrast, lacunarity, oriented gradients, line features.
+"""Texture of windows in DataFrame functions: co-occurrence contrast, lacunarity, oriented gradients; line features, on tiles.
 
 Where a pixel is in more than MOST_COPIES windows it is not copied to them: tiles give the same numbers.
 """
@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellweave.functions.moments import moments5
 from cellweave.geometry import MOST_COPIES, copies, extent, near, neighbourhood, windows
 from cellweave.operators import wide
-from cellweave.operators.shapes import PAIR_OFFSETS, line_places, rays  # noqa: F401
+from cellweave.operators.shapes import PAIR_OFFSETS
 from cellweave.operators.tiles import on_tiles
 from cellweave.operators.wide import MAGNITUDE
 from cellweave.operators.window import cell_keys, window_mean
@@ -95,65 +94,13 @@ def hog(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = Non
     return bins.select(*cell_keys(keys), *(F.when(F.col("top") > 0, x).otherwise(F.lit(0.0)).alias(n) for n, x in moments5(F.col("a")).items()))
 
 
-def window_sizes(spec: FeatureSpec, rows: int, cols: int) -> list[tuple[int, int, int]]:
-    """(k, h, w) of all windows: whole, or clipped at the last cells."""
-    n, m = spec.out_size(rows, cols)
-    out = set()
-    for k in spec.scales:
-        hs = {min(k, rows - (i * spec.block + spec.offset(k))) for i in range(max(0, n - spec.largest), n)}
-        ws = {min(k, cols - (j * spec.block + spec.offset(k))) for j in range(max(0, m - spec.largest), m)}
-        out |= {(k, h, w) for h in hs for w in ws}
-    return sorted(out)
-
-
 def sfs(pixels: DataFrame, spec: FeatureSpec, size: tuple[int, int] | None = None, keys: tuple[str, ...] = ("band",)) -> DataFrame:
     """(keys, k, bi, bj, max, min, mean, wmean, std, orthogonal) of the lengths of homogeneous lines from the window's centre.
 
     A line grows while the summed difference of its pixels from the central block's mean is below the threshold.
     Its length is the distance from the centre to the first pixel that it leaves out, or its last one. min skips
     lengths of 0; wmean weighs by 0.1 (length - 1) / (half the variance along the line), skipped where that is
-    not finite; orthogonal is the largest difference to the line at a right angle. Windows are gathered into
-    arrays in one shuffle, and lines are read out of them.
+    not finite; orthogonal is the largest difference to the line at a right angle. Lines are walked on tiles: a window
+    gathered from its pixels would be as large as all of them, so nothing would shrink before the shuffle.
     """
-    rows, cols = size or extent(pixels)
-    if copies(spec) > MOST_COPIES:
-        return on_tiles(pixels, spec, wide.SFS, (rows, cols), keys).drop("layer")
-    spark = pixels.sparkSession
-    lines = [(k, h, w, [[r * w + c for r, c in ray] for ray in rays(h, w, spec.line_skip)], -(-h // spec.line_skip), -(-w // spec.line_skip)) for k, h, w in window_sizes(spec, rows, cols)]
-    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("w", T.LongType()), T.StructField("rays", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("ny", T.IntegerType()), T.StructField("nx", T.IntegerType())])
-    geometry = spark.createDataFrame(lines, schema)  # four rows a scale at most
-    spread = windows(pixels, spec, rows, cols)
-    half, low = spec.block // 2, spec.block == 1
-    central = lambda at, n: (F.col(at) >= F.floor(F.col(n) / 2) - half) & (F.col(at) < F.floor(F.col(n) / 2) + (1 if low else half))
-    gathered = spread.groupBy(*cell_keys(keys), "h", "w").agg(
-        F.sort_array(F.collect_list(F.struct((F.col("lr") * F.col("w") + F.col("lc")).alias("at"), "v"))).alias("x"), F.avg(F.when(central("lr", "h") & central("lc", "w"), F.col("v").cast("double"))).alias("centre")
-    )
-    # A window that lacks pixels, at the edge of a part of an image, has no lines.
-    gathered = gathered.where(F.size("x") == F.col("h") * F.col("w"))
-    at = gathered.select(*cell_keys(keys), "h", "w", "centre", F.transform("x", lambda x: x["v"].cast("double")).alias("v")).join(F.broadcast(geometry), ["k", "h", "w"])
-    zero = F.struct(F.lit(0.0).alias("ph"), F.lit(0).alias("n"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
-
-    def step(a, p):
-        v = F.col("v")[p]
-        grown = F.struct((a["ph"] + F.abs(F.col("centre") - v)).alias("ph"), (a["n"] + 1).alias("n"), (a["s1"] + v).alias("s1"), (a["s2"] + v * v).alias("s2"))
-        return F.when(a["ph"] < F.lit(float(spec.line_threshold)), grown).otherwise(a)
-
-    walked = at.select(*cell_keys(keys), "h", "w", "rays", "ny", "nx", F.transform("rays", lambda ray: F.aggregate(ray, zero, step)).alias("walk"))
-
-    def length(ray, walk):
-        p = ray[F.least(walk["n"], F.size(ray) - 1)].cast("long")
-        dr, dc = F.floor(p / F.col("w")) - F.floor(F.col("h") / 2), p % F.col("w") - F.floor(F.col("w") / 2)
-        return F.sqrt((dr * dr + dc * dc).cast("double"))
-
-    lengths = walked.select(*cell_keys(keys), "ny", "nx", F.zip_with("rays", "walk", lambda ray, walk: F.struct(length(ray, walk).alias("d"), ((walk["s2"] - walk["s1"] * walk["s1"] / walk["n"]) / walk["n"] * 0.5).alias("sd"))).alias("x"))
-    lengths = lengths.withColumn("d", F.transform("x", lambda x: x["d"]))
-    n = F.size("d").cast("double")
-    mean = F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / n
-    weighted = F.aggregate("x", F.lit(0.0), lambda a, x: a + F.when(x["sd"] > 1e-9, F.lit(0.1) * (x["d"] - 1.0) / x["sd"]).otherwise(F.lit(0.0))) / n
-    std = F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    pairs = F.sequence(F.lit(0), F.least("ny", "nx") - 1)
-    apart = lambda e: F.greatest(F.abs(F.col("d")[e] - F.col("d")[2 * F.col("ny") + F.col("nx") + e]), F.abs(F.col("d")[F.col("ny") + e] - F.col("d")[2 * F.col("ny") + e]))
-    return lengths.select(
-        *cell_keys(keys), F.array_max("d").alias("max"), F.coalesce(F.array_min(F.filter("d", lambda x: x != 0)), F.lit(0.0)).alias("min"), mean.alias("mean"), weighted.alias("wmean"), std.alias("std"),
-        F.array_max(F.transform(pairs, apart)).alias("orthogonal"),
-    )
+    return on_tiles(pixels, spec, wide.SFS, size or extent(pixels), keys).drop("layer")

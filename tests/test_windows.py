@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from rasters import five, same, table, to_pixels, weighted
 
-from cellweave.operators import stencils, texture, window
+from cellweave.operators import shapes, stencils, texture, window
 from cellweave.operators.kernels import FIVE
 from cellweave.spec import FeatureSpec
 
@@ -125,7 +128,14 @@ def test_oriented_gradients(spark, spec):
     same({key: x[3:] if x[2] > 1e-3 else [0, 0] for key, x in got.items()}, image, spec, lambda w, k: measure(w, k)[3:] if measure(w, k)[2] > 1e-3 else [0, 0], 1e-3, 1e-3)
 
 
-@pytest.mark.parametrize("spec", [FeatureSpec(triggers=("sfs",), block=4, scales=(8,)), FeatureSpec(triggers=("sfs",), block=6, scales=(8, 16)), FeatureSpec(triggers=("sfs",), block=1, scales=(5,), line_skip=2)], ids=lambda s: f"b{s.block}k{s.scales}")
+def plain_line(r0, c0, r1, c1):
+    """A place for each step along the longer side, by exact fractions; halves go away from the start."""
+    n = max(abs(r1 - r0), abs(c1 - c0))
+    at = lambda a, z, i: a + (1 if z > a else -1) * math.floor(Fraction(abs(z - a) * i, n) + Fraction(1, 2))
+    return [(at(r0, r1, i), at(c0, c1, i)) for i in range(n + 1)] if n else [(r0, c0)]
+
+
+@pytest.mark.parametrize("spec", [FeatureSpec(triggers=("sfs",), block=4, scales=(8,)), FeatureSpec(triggers=("sfs",), block=6, scales=(8, 16)), FeatureSpec(triggers=("sfs",), block=1, scales=(5,), line_skip=2), FeatureSpec(triggers=("sfs",), block=2, scales=(8, 16), section_size=20)], ids=lambda s: f"b{s.block}k{s.scales}")
 def test_lines(spark, spec):
     image = raster(7, 60)
 
@@ -136,7 +146,7 @@ def test_lines(spark, spec):
         sides = [[(e, 0) for e in range(0, h, spec.line_skip)], [(e, wd - 1) for e in range(0, h, spec.line_skip)], [(0, e) for e in range(0, wd, spec.line_skip)], [(h - 1, e) for e in range(0, wd, spec.line_skip)]]
         lengths, wmean = [], 0.0
         for end in sum(sides, []):
-            line, ph, n = texture.line_places(r, c, *end), 0.0, 0
+            line, ph, n = plain_line(r, c, *end), 0.0, 0
             assert line[0] == (r, c) and line[-1] == end
             while n < len(line) and ph < spec.line_threshold:
                 ph += abs(ctr - w[line[n]])
@@ -157,10 +167,10 @@ def test_lines(spark, spec):
 
 
 def test_line_places_are_the_midpoint_line():
-    assert texture.line_places(1, 1, 8, 8) == [(i, i) for i in range(1, 9)]
-    assert texture.line_places(2, 2, 2, 2) == [(2, 2)]
+    assert shapes.line_places(1, 1, 8, 8) == [(i, i) for i in range(1, 9)]
+    assert shapes.line_places(2, 2, 2, 2) == [(2, 2)]
     for end in [(0, 5), (7, 1), (3, 0), (0, 0), (6, 7)]:
-        line = texture.line_places(4, 4, *end)
+        line = shapes.line_places(4, 4, *end)
         assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(line, line[1:]))
 
 
@@ -222,7 +232,7 @@ def test_wide_windows_on_tiles_give_the_same_numbers(spark, spec, monkeypatch):
     pixels = to_pixels(spark, image).cache()
     mask = to_pixels(spark, (image > 20).astype(int)).cache()
     made = {
-        "pantex": lambda: texture.pantex(pixels, spec), "lac": lambda: texture.lacunarity(pixels, spec), "hog": lambda: texture.hog(pixels, spec), "sfs": lambda: texture.sfs(pixels, spec),
+        "pantex": lambda: texture.pantex(pixels, spec), "lac": lambda: texture.lacunarity(pixels, spec), "hog": lambda: texture.hog(pixels, spec),
         "moments": lambda: window.window_moments(pixels, spec), "orb": lambda: window.keypoint_moments(mask, spec),
     }
     for name, make in made.items():
